@@ -1,0 +1,30 @@
+"""Joins on keys of which a few may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SHARE = 0.001       # a key with more than this part of the rows is hot
+MIN_ROWS = 1_000_000  # unless it has fewer rows than one task handles with ease
+
+
+def hot_keys(df: DataFrame, key: str, share: float = SHARE,
+             min_rows: int = MIN_ROWS) -> DataFrame:
+    """Keys with more than `share` of all rows. There can be at most 1/share of them."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = counts.agg(F.greatest(F.lit(min_rows).cast("double"),
+                                  F.sum("_n") * F.lit(share))).scalar()
+    return counts.filter(F.col("_n") > limit).select(key)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of `big` with `small`, which has one row per key.
+
+    Rows of hot keys meet a broadcast of at most one small row per hot key and do
+    not move; the others take an ordinary shuffled join.
+    """
+    hot = F.broadcast(hot)
+    small_hot = F.broadcast(small.join(hot, key, "left_semi"))
+    return (big.join(small_hot, key)
+            .unionByName(big.join(hot, key, "left_anti").join(small, key)))
