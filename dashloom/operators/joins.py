@@ -81,11 +81,12 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
         F.col(tie).alias("_tie"), F.struct(*values).alias("_right"))
     both = split_in_order(lefts.unionByName(rights, allowMissingColumns=True),
                           ["_by"], [F.col("_t"), F.col("_side"), F.col("_tie")], parts)
-    latest = F.max_by("_right", F.struct("_t", "_tie")).filter(F.col("_right").isNotNull())
+    is_right = F.col("_side") == side_right
+    latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
     carry = carry_over(both, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
     w = within_chunk("_t", "_side", "_tie")
     seen = both.withColumn("_here", F.last("_right", ignorenulls=True).over(w))
-    found = (seen.filter(F.col("_left").isNotNull())
+    found = (seen.filter(~is_right)
              .join(F.broadcast(carry), [CHUNK, KEY], "left")
              .withColumn("_hit", F.coalesce("_here", "_before")))
     return found.select("_left.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
