@@ -12,7 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sums, split_in_order
+from ..session import freeze
+from .ordered import in_order, running_sums
+from .skew import DEFAULT, HotRule
 
 Dim = str | Column
 Measures = Mapping[str, Column]
@@ -62,17 +64,18 @@ def melt(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame
 
 
 def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float],
-                parts: int | None = None) -> DataFrame:
+                rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
     """Exact interpolated percentiles, one column p<percent> each.
 
-    Equal values are counted before the shuffle, then values are counted up in
-    order, chunk by chunk, so no task has to hold a group.
+    Equal values are counted before the shuffle, then the counts are added up in
+    the order of the values. No task holds the values of a group in memory, and
+    groups with very many values are spread over chunks.
     """
     counted = (df.filter(F.col(col).isNotNull())
                .groupBy(*dims, F.col(col).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    chunks = split_in_order(counted, dims, [F.col("_v")], parts)
-    ranked = running_sums(chunks, [F.col("_v")], {"_upto": F.col("_n")})
+    ordered = in_order(freeze(counted, "counted"), dims, [F.col("_v")], rule, parts)
+    ranked = running_sums(ordered, {"_upto": F.col("_n")})
     last, below = F.col("_upto") - 1, F.col("_upto") - F.col("_n")
     size = F.col("_upto_total")
     picks, result = [], []

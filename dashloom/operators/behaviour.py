@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grain import micros, width_micros
-from .skew import hot_keys, lookup_join
+from .skew import DEFAULT, HotRule, find_hot, lookup_join
 
 
 def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
@@ -41,15 +41,15 @@ def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
 
 
 def funnel_times(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str],
-                 **hot_rule) -> DataFrame:
+                 rule: HotRule = DEFAULT) -> DataFrame:
     """Per user that did the first step: the time each step was reached, t1, t2, ...
 
     A step counts at its first event after the step before was reached. Each step
     is a minimum per user over the events of its type that come after; nothing
     collects the events of a user.
     """
-    used = df.filter(F.col(kind).isin(list(steps)))
-    hot = hot_keys(used, user, **hot_rule)
+    df = df.filter(F.col(user).isNotNull())
+    hot = find_hot(df.filter(F.col(kind).isin(list(steps))), [user], rule)
     reached = (df.filter(F.col(kind) == steps[0]).groupBy(user)
                .agg(F.min(time).alias("t1")))
     for i, step in enumerate(steps[1:], start=2):
@@ -63,9 +63,9 @@ def funnel_times(df: DataFrame, user: str, time: str, kind: str, steps: Sequence
 
 
 def funnel(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str],
-           **hot_rule) -> DataFrame:
+           rule: HotRule = DEFAULT) -> DataFrame:
     """Users that reached each step, in all and as part of the first step."""
-    times = funnel_times(df, user, time, kind, steps, **hot_rule)
+    times = funnel_times(df, user, time, kind, steps, rule)
     counts = times.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(steps) + 1)])
     rows = [F.struct(F.lit(i).cast("bigint").alias("step_no"), F.lit(s).alias("step"),
                      F.col(f"n{i}").alias("n_users"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grain import micros, width_micros
-from .ordered import CHUNK, KEY, carry_over, split_in_order, within_chunk
+from .ordered import CHUNK, KEY, carry_over, in_order
+from .skew import DEFAULT, HotRule
 
 Key = str | tuple[str, str]
 
@@ -63,33 +64,38 @@ def orphans(fact: DataFrame, dim: DataFrame, key: Key) -> DataFrame:
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
                 tie: str, values: Sequence[str], strict: bool = False,
-                parts: int | None = None) -> DataFrame:
+                rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
     """Each left row with the `values` of the latest right row of its key.
 
     Latest means the greatest `rt` not after `lt` (before `lt` if strict), then
     the greatest `tie`. Left rows without one keep nulls. Both sides are put in
-    one order and cut into even chunks, so the rows of a hot key are spread over
-    many tasks; what one chunk passes to the next is one row.
+    one order per key, and the last right row is carried along it; the rows of a
+    hot key are spread over chunks.
     """
     # At equal times the right row comes first when it counts as a match.
     side_left, side_right = (0, 1) if strict else (1, 0)
-    lefts = left.select(
+    lefts = left.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_by"), F.col(lt).alias("_t"), F.lit(side_left).alias("_side"),
         F.struct(*left.columns).alias("_left"))
     rights = right.filter(F.col(key).isNotNull() & F.col(rt).isNotNull()).select(
         F.col(key).alias("_by"), F.col(rt).alias("_t"), F.lit(side_right).alias("_side"),
         F.col(tie).alias("_tie"), F.struct(*values).alias("_right"))
-    both = split_in_order(lefts.unionByName(rights, allowMissingColumns=True),
-                          ["_by"], [F.col("_t"), F.col("_side"), F.col("_tie")], parts)
     is_right = F.col("_side") == side_right
-    latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
-    carry = carry_over(both, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
-    w = within_chunk("_t", "_side", "_tie")
-    seen = both.withColumn("_here", F.last("_right", ignorenulls=True).over(w))
-    found = (seen.filter(~is_right)
-             .join(F.broadcast(carry), [CHUNK, KEY], "left")
-             .withColumn("_hit", F.coalesce("_here", "_before")))
-    return found.select("_left.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+    both = in_order(lefts.unionByName(rights, allowMissingColumns=True), ["_by"],
+                    [F.col("_t"), F.col("_side"), F.col("_tie")], rule, parts)
+    last = F.last("_right", ignorenulls=True)
+    found = both.rest.withColumn("_hit", last.over(both.in_key)).filter(~is_right).select(
+        "_left", "_hit")
+    if both.chunks is not None:
+        latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
+        carry = carry_over(
+            both.chunks, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
+        seen = both.chunks.withColumn("_here", last.over(both.in_chunk)).filter(~is_right)
+        found = found.unionByName(seen.join(carry, [CHUNK, KEY], "left").select(
+            "_left", F.coalesce("_here", "_before").alias("_hit")))
+    matched = found.select("_left.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+    without_key = left.filter(F.col(key).isNull())
+    return matched.unionByName(without_key, allowMissingColumns=True)
 
 
 def within(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str,

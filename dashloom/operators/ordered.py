@@ -1,25 +1,69 @@
 """Ordered work on keys of any size.
 
-A window over a key puts the whole key into one task. Where a key may hold a
-large share of the table, the rows are cut into chunks along the order (key,
-then time or value). `repartitionByRange` samples the rows, so chunks are even
-whatever the keys are. A key that fits in one chunk is done there. At a chunk
-border at most one key goes on, so what has to be passed to later chunks is at
-most one row per chunk: small enough to broadcast, by construction.
+A window over a key puts the whole key into one task. That is right for most keys,
+but not for one that holds a large share of the table. The rows of such hot keys
+are cut into chunks along the order (key, then time or value).
+`repartitionByRange` samples the rows, so the chunks are even whatever the keys
+are. At a chunk border at most one key goes on, so what has to be passed on to
+later chunks is at most two rows per chunk: small enough to broadcast, by
+construction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import freeze
+from .skew import DEFAULT, HotRule, find_hot, only
 
 CHUNK, KEY, SPREAD = "_chunk", "_key", "_spread"
 
+# (aggregate of one chunk, fold over the chunks of a key)
+State = tuple[Column, Callable[[Column], Column]]
+
+
+@dataclass(frozen=True)
+class Ordered:
+    """The rows of ordinary keys as they are, and those of hot keys in chunks."""
+
+    rest: DataFrame | None
+    chunks: DataFrame | None
+    by: tuple[str, ...]
+    order: tuple[Column, ...]
+
+    @property
+    def in_key(self) -> WindowSpec:
+        return _so_far(self.by, self.order)
+
+    @property
+    def in_chunk(self) -> WindowSpec:
+        return _so_far((CHUNK, KEY), self.order)
+
+
+def _so_far(by: Sequence[str], order: Sequence[Column]) -> WindowSpec:
+    return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
+             rule: HotRule = DEFAULT, parts: int | None = None,
+             hot: DataFrame | None = None) -> Ordered:
+    """Split `df` into ordinary and hot keys. Without `by` the table is one key.
+
+    `hot` gives the hot keys where they are known already.
+    """
+    hot = find_hot(df, by, rule) if hot is None else hot
+    if hot is None:
+        return Ordered(df, None, tuple(by), tuple(order))
+    if not by:
+        return Ordered(None, split_in_order(df, by, order, parts), (), tuple(order))
+    chunks = split_in_order(only(df, hot, by, "left_semi"), by, order, parts)
+    return Ordered(only(df, hot, by, "left_anti"), chunks, tuple(by), tuple(order))
+
 
 def split_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                    parts: int | None = None) -> DataFrame:
@@ -36,47 +80,47 @@ def split_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     return freeze(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
 
 
-def within_chunk(*order: str | Column) -> WindowSpec:
-    """Rows of a key in a chunk up to the current row."""
-    return (W.partitionBy(CHUNK, KEY).orderBy(*order)
-            .rowsBetween(W.unboundedPreceding, W.currentRow))
+def _spanning_keys(chunks: DataFrame) -> DataFrame:
+    """Keys that go on from one chunk to the next: at most one per chunk border."""
+    ends = chunks.groupBy(CHUNK).agg(F.min(KEY).alias("_min"), F.max(KEY).alias("_max"))
+    at = W.orderBy(CHUNK)  # one row per chunk
+    # Values may run downwards along the chunks, so either end may touch either.
+    before = F.array(F.lag("_min").over(at), F.lag("_max").over(at))
+    touching = F.array_intersect(F.array("_min", "_max"), "_before")
+    return (ends.withColumn("_before", before).filter(F.col("_before")[0].isNotNull())
+            .select(F.explode(touching).alias(KEY)).distinct())
 
 
-def spanning_keys(chunks: DataFrame) -> DataFrame:
-    """Keys that go on from one chunk to the next: at most one per chunk."""
-    ends = chunks.groupBy(CHUNK).agg(F.min(KEY).alias("_lo"), F.max(KEY).alias("_hi"))
-    before = F.lag("_hi").over(W.orderBy(CHUNK))  # one row per chunk
-    return (ends.withColumn("_prev", before).filter(F.col("_prev") == F.col("_lo"))
-            .select(F.col("_lo").alias(KEY)).distinct())
-
-
-def carry_over(
-    chunks: DataFrame,
-    states: Mapping[str, tuple[Column, Callable[[Column], Column]]],
-    totals: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
-) -> DataFrame:
+def carry_over(chunks: DataFrame, states: Mapping[str, State],
+               totals: Mapping[str, State] | None = None) -> DataFrame:
     """What a key brings into a chunk from its earlier chunks.
 
-    Each state is (aggregate of one chunk, fold over chunks). `totals` fold over
-    all chunks of the key. Only keys that span chunks appear, so there are at most
-    two rows per chunk, and the result may be broadcast.
+    `totals` are folded over all chunks of the key. Only keys that span chunks
+    appear, at most two in a chunk, so the result may be broadcast.
     """
     totals = totals or {}
-    spanning = chunks.join(F.broadcast(spanning_keys(chunks)), KEY, "left_semi")
-    parts = spanning.groupBy(CHUNK, KEY).agg(
+    spanning = chunks.join(F.broadcast(_spanning_keys(chunks)), KEY, "left_semi")
+    per_chunk = spanning.groupBy(CHUNK, KEY).agg(
         *[agg.alias(name) for name, (agg, _) in (*states.items(), *totals.items())])
     chain = W.partitionBy(KEY).orderBy(CHUNK)
     earlier = chain.rowsBetween(W.unboundedPreceding, -1)
     whole = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return parts.select(
+    return F.broadcast(per_chunk.select(
         CHUNK, KEY,
         *[fold(F.col(n)).over(earlier).alias(n) for n, (_, fold) in states.items()],
-        *[fold(F.col(n)).over(whole).alias(n) for n, (_, fold) in totals.items()])
+        *[fold(F.col(n)).over(whole).alias(n) for n, (_, fold) in totals.items()]))
 
 
-def running_sums(chunks: DataFrame, order: Sequence[Column], values: Mapping[str, Column],
-                 onto: DataFrame | None = None) -> DataFrame:
-    """Per key: `name` = sum of value up to the row, `name_total` = sum over the key.
+def _with_sums(df: DataFrame, so_far: WindowSpec, values: Mapping[str, Column]) -> DataFrame:
+    whole = so_far.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return df.select(
+        "*", *[F.sum(v).over(so_far).alias(n) for n, v in values.items()],
+        *[F.sum(v).over(whole).alias(f"{n}_total") for n, v in values.items()])
+
+
+def chunk_sums(chunks: DataFrame, so_far: WindowSpec, values: Mapping[str, Column],
+               onto: DataFrame | None = None) -> DataFrame:
+    """Running and total sums over the chunks of a key, as `running_sums` gives them.
 
     Added to `onto`, which holds the rows of `chunks` with further columns.
     """
@@ -84,15 +128,24 @@ def running_sums(chunks: DataFrame, order: Sequence[Column], values: Mapping[str
         chunks,
         {f"_b_{n}": (F.sum(v), F.sum) for n, v in values.items()},
         {f"_t_{n}": (F.sum(v), F.sum) for n, v in values.items()})
-    here = within_chunk(*order)
-    whole = here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    out = (chunks if onto is None else onto).select(
-        "*", *[F.sum(v).over(here).alias(n) for n, v in values.items()],
-        *[F.sum(v).over(whole).alias(f"{n}_total") for n, v in values.items()])
-    out = out.join(F.broadcast(carry), [CHUNK, KEY], "left")
+    out = _with_sums(chunks if onto is None else onto, so_far, values)
+    out = out.join(carry, [CHUNK, KEY], "left")
     for n in values:
         zero = F.lit(0)
         out = (out.withColumn(n, F.coalesce(f"_b_{n}", zero) + F.coalesce(n, zero))
                .withColumn(f"{n}_total", F.coalesce(f"_t_{n}", f"{n}_total"))
                .drop(f"_b_{n}", f"_t_{n}"))
     return out
+
+
+def running_sums(rows: Ordered, values: Mapping[str, Column]) -> DataFrame:
+    """Per key: `name` = sum of value up to the row, `name_total` = sum over the key.
+
+    The order must be complete, as with a ROWS frame.
+    """
+    found = []
+    if rows.rest is not None:
+        found.append(_with_sums(rows.rest, rows.in_key, values))
+    if rows.chunks is not None:
+        found.append(chunk_sums(rows.chunks, rows.in_chunk, values).drop(CHUNK, KEY))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])

@@ -10,40 +10,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from .filters import _literal
-from .ordered import KEY, running_sums, split_in_order
+from .ordered import KEY, chunk_sums, in_order, running_sums
+from .skew import DEFAULT, HotRule
 
 
 def pareto(df: DataFrame, dim: str, measure: Column, tiles: int = 4,
-           parts: int | None = None) -> DataFrame:
+           rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
     """Share, cumulative share, tile and percent rank of each dimension value.
 
-    The largest value comes first, the dimension breaks ties. The values are
-    counted and summed up in even chunks, as a dimension may have as many values
-    as there are customers. The measure should be an integer or a decimal.
+    The largest value comes first, the dimension breaks ties. A dimension with
+    more values than one task handles with ease, such as customers, is numbered
+    and summed up in chunks. The measure should be an integer or a decimal.
     """
-    grouped = df.groupBy(dim).agg(measure.alias("value"))
-    order = [F.col("value").desc(), F.col(dim)]
-    chunks = split_in_order(grouped, [], order, parts)
-    one = F.lit(1).cast("bigint")
-    sums = running_sums(chunks, order, {"_upto": one, "_sum": F.col("value")})
-    # Rows of equal value form a run in the same order; its start is the rank.
-    run = F.struct("value")
-    ranked = running_sums(chunks.withColumn(KEY, run), [F.col(dim)], {"_place": one},
-                          onto=sums.withColumn(KEY, run))
+    grouped = freeze(df.groupBy(dim).agg(measure.alias("value")), "grouped")
+    order = (F.col("value").desc(), F.col(dim))
+    rows, one = in_order(grouped, [], order, rule, parts), F.lit(1).cast("bigint")
+    counts = {"_upto": one, "_sum": F.col("value")}
+    if rows.chunks is None:
+        rank = F.rank().over(W.orderBy(order[0])).cast("bigint") - 1
+        ranked = running_sums(rows, counts).withColumn("_rank", rank)
+    else:
+        # Rows of equal value are a run in the same order; where it starts is the rank.
+        numbered = chunk_sums(rows.chunks, rows.in_chunk, counts)
+        run = F.struct("value")
+        ranked = chunk_sums(rows.chunks.withColumn(KEY, run), rows.in_chunk, {"_place": one},
+                            onto=numbered.withColumn(KEY, run))
+        ranked = ranked.withColumn("_rank", F.col("_upto") - F.col("_place"))
     n, at = F.col("_upto_total"), F.col("_upto")
     size, extra = F.floor(n / tiles), n % tiles
     long = extra * (size + 1)  # rows in the tiles that hold one more
     tile = F.when(at <= long, F.ceil(at / (size + 1))).otherwise(
         extra + F.ceil(F.try_divide(at - long, size)))
-    rank = at - F.col("_place")
     total = F.col("_sum_total").cast("double")
     return ranked.select(
         dim, F.col("value").cast("double").alias("value"),
         F.try_divide(F.col("value").cast("double"), total).alias("share"),
         F.try_divide(F.col("_sum").cast("double"), total).alias("cum_share"),
         tile.cast("bigint").alias("tile"),
-        F.coalesce(F.try_divide(rank.cast("double"), (n - 1).cast("double")),
+        F.coalesce(F.try_divide(F.col("_rank").cast("double"), (n - 1).cast("double")),
                    F.lit(0.0)).alias("pct_rank"))
 
 

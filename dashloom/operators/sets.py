@@ -27,14 +27,15 @@ def period_diff(a: DataFrame, b: DataFrame, key: str, measure: Column) -> DataFr
 def members(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """Rows in both, in either, only in a, or only in a counting copies.
 
-    op is one of: both, either, only_first, only_first_all.
+    op is one of: both, either, only_first, only_first_all. Copies are dropped
+    before the two sides meet, so a row with very many copies is no burden.
     """
     if op == "both":
-        return a.intersect(b)
+        return a.distinct().intersect(b.distinct())
     if op == "either":
         return a.unionByName(b).distinct()
     if op == "only_first":
-        return a.subtract(b)
+        return a.distinct().subtract(b.distinct())
     if op == "only_first_all":
         return a.exceptAll(b)
     raise ValueError(f"unknown op {op!r}")

@@ -1,30 +1,60 @@
-"""Joins on keys of which a few may hold a large share of the rows."""
+"""Keys that hold so many rows that they should not meet in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 0.001       # a key with more than this part of the rows is hot
-MIN_ROWS = 1_000_000  # unless it has fewer rows than one task handles with ease
+from ..session import freeze
+
+
+@dataclass(frozen=True)
+class HotRule:
+    """A key is hot above this part of all rows, if that is more than `min_rows`.
+
+    So there are at most 1/share hot keys: a table of them may be broadcast.
+    """
+
+    share: float = 1 / 10_000
+    min_rows: int = 1_000_000
+
+
+DEFAULT = HotRule()
+
+
+def find_hot(df: DataFrame, by: Sequence[str], rule: HotRule = DEFAULT) -> DataFrame | None:
+    """The hot keys, or None where there are none. Counts the rows per key.
+
+    Without key columns the whole table is one key, and the result one empty row.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.greatest(F.lit(rule.min_rows).cast("double"), F.sum("_n") * F.lit(rule.share))
+    if not by:
+        return None if df.limit(rule.min_rows + 1).count() <= rule.min_rows else counts.select()
+    hot = freeze(counts.filter(F.col("_n") > counts.agg(limit).scalar()).select(*by), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def hot_keys(df: DataFrame, key: str, share: float = SHARE,
-             min_rows: int = MIN_ROWS) -> DataFrame:
-    """Keys with more than `share` of all rows. There can be at most 1/share of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    limit = counts.agg(F.greatest(F.lit(min_rows).cast("double"),
-                                  F.sum("_n") * F.lit(share))).scalar()
-    return counts.filter(F.col("_n") > limit).select(key)
+def only(df: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Rows with (`left_semi`) or without (`left_anti`) one of the few keys; nulls match."""
+    keys = F.broadcast(keys.select(*[F.col(b).alias(f"_hot_{b}") for b in by]))
+    same = reduce(lambda x, y: x & y, [df[b].eqNullSafe(F.col(f"_hot_{b}")) for b in by])
+    return df.join(keys, same, how)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str,
+                hot: DataFrame | None) -> DataFrame:
     """Inner join of `big` with `small`, which has one row per key.
 
     Rows of hot keys meet a broadcast of at most one small row per hot key and do
     not move; the others take an ordinary shuffled join.
     """
-    hot = F.broadcast(hot)
-    small_hot = F.broadcast(small.join(hot, key, "left_semi"))
-    return (big.join(small_hot, key)
-            .unionByName(big.join(hot, key, "left_anti").join(small, key)))
+    if hot is None:
+        return big.join(small, key)
+    few = F.broadcast(only(small, hot, [key], "left_semi"))
+    return (big.join(few, key)
+            .unionByName(only(big, hot, [key], "left_anti").join(small, key)))
