@@ -80,7 +80,7 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
     One row per key and moment; a row exactly `back` earlier still counts. Each
     moment enters the running sum with its values and leaves it, as a negative
     entry, once it is older than `back`; the running sum is then the total. Values
-    should be integers or decimals, for which that is exact.
+    should be integers, such as cents, or decimals, for which that is exact.
     """
     span = F.lit(back)
     moments = df.groupBy(*by, F.col(time).alias("t")).agg(

@@ -29,12 +29,12 @@ DEFAULT = HotRule()
 def find_hot(df: DataFrame, by: Sequence[str], rule: HotRule = DEFAULT) -> DataFrame | None:
     """The hot keys, or None where there are none. Counts the rows per key.
 
-    Without key columns the whole table is one key, and the result one empty row.
+    Without key columns the whole table is one key, and the result says only that it is hot.
     """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     limit = F.greatest(F.lit(rule.min_rows).cast("double"), F.sum("_n") * F.lit(rule.share))
     if not by:
-        return None if df.limit(rule.min_rows + 1).count() <= rule.min_rows else counts.select()
+        return counts if df.count() > rule.min_rows else None
     hot = freeze(counts.filter(F.col("_n") > counts.agg(limit).scalar()).select(*by), "hot")
     return None if hot.isEmpty() else hot
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...functions.grain import truncate
-from ...functions.measures import amount, mean, revenue, rows, total
+from ...functions.measures import mean, revenue, rows, total
 from ...operators import aggregates as A
 from ...operators.filters import derive, json_dim
 from ...operators.joins import star
@@ -239,4 +239,4 @@ def market_subtotals(spark, sf_dir):
                   (t["nation"], ("c_nationkey", "n_nationkey")),
                   (t["region"], ("n_regionkey", "r_regionkey")))
     return A.subtotals(orders, ["r_name", "n_name", "c_mktsegment"],
-                       {"n": rows(), "total": F.sum(amount("o_totalprice")).cast("double")})
+                       {"n": rows(), "total": total("o_totalprice")})

@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import amount
+from ...functions.measures import cents, from_cents
 from ...operators.behaviour import funnel, funnel_times, retention, sessions
 from ...sources.tables import table
 from ..registry import query
@@ -24,8 +24,8 @@ from s group by user_id, session_no"""
 @query("sessions", _SESSIONS)
 def user_sessions(spark, sf_dir):
     found = sessions(table(spark, sf_dir, "events"), "user_id", "ts", timedelta(minutes=30),
-                     {"value": amount("value")})
-    return found.withColumn("value", F.col("value").cast("double"))
+                     {"value": cents("value")})
+    return found.withColumn("value", from_cents("value"))
 
 
 _STEPS = ["view", "click", "purchase"]

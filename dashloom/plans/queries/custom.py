@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ...functions.custom import custom_measure, register_dimension, register_measure
-from ...functions.measures import amount, rows
+from ...functions.measures import cents, exact_sum, rows, total
 from ...operators.aggregates import breakdown
 from ...sources.tables import table
 from ..registry import query
@@ -26,9 +26,9 @@ def weighted_mean(spark, sf_dir):
         return part / whole
 
     mean = register_measure(spark, "weighted_mean", ratio, "double")
-    weighted = F.sum(amount("l_extendedprice") * amount("l_quantity")).cast("double")
+    weighted = exact_sum(cents("l_extendedprice") * cents("l_quantity"), 4).cast("double")
     sums = breakdown(table(spark, sf_dir, "lineitem"), ["l_returnflag"], {
-        "_part": weighted, "_whole": F.sum(amount("l_quantity")).cast("double")})
+        "_part": weighted, "_whole": total("l_quantity")})
     return sums.select("l_returnflag", mean("_part", "_whole").alias("mean_price"))
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import amount, revenue, rows, total
+from ...functions.measures import revenue, rows, total
 from ...operators.aggregates import breakdown
 from ...operators.filters import Filter, apply_filters
 from ...operators.joins import (asof_latest, in_segment, not_in_segment, orphans, star, within)
@@ -129,7 +129,7 @@ from a full join b on a.o_custkey = b.o_custkey""")
 def customers_compared(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return period_diff(_year(orders, 1996), _year(orders, 1997), "o_custkey",
-                       F.sum(amount("o_totalprice")).cast("double"))
+                       total("o_totalprice"))
 
 
 def _members(op):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import amount, net_price, rows
+from ...functions.measures import cents, exact_sum, net_total, rows
 from ...operators.ranking import pareto, rows_after, top_n_other, top_per_group
 from ...operators.joins import star
 from ...sources.tables import load, table
@@ -24,7 +24,7 @@ from g"""
 
 @query("pareto", _pareto_sql("o_custkey", "sum(cast(o_totalprice as decimal(12,2)))", "orders"))
 def customer_shares(spark, sf_dir):
-    return pareto(table(spark, sf_dir, "orders"), "o_custkey", F.sum(amount("o_totalprice")))
+    return pareto(table(spark, sf_dir, "orders"), "o_custkey", exact_sum(cents("o_totalprice")))
 
 
 @query("pareto_ties", _pareto_sql("l_partkey", "count(*)", "lineitem"))
@@ -46,7 +46,7 @@ def best_customers(spark, sf_dir):
                  (t["customer"], ("o_custkey", "c_custkey")),
                  (t["nation"], ("c_nationkey", "n_nationkey")),
                  (t["region"], ("n_regionkey", "r_regionkey")))
-    top = top_per_group(lines, ["r_name"], "o_custkey", F.sum(net_price()), 5)
+    top = top_per_group(lines, ["r_name"], "o_custkey", net_total(), 5)
     return top.select("r_name", "o_custkey", F.col("value").cast("double").alias("value"),
                       F.col("rank_no").cast("bigint").alias("rank_no"))
 
@@ -61,7 +61,7 @@ from r group by 1, 2""")
 def top_brands(spark, sf_dir):
     t = load(spark, sf_dir, "lineitem", "part")
     lines = star(t["lineitem"], (t["part"], ("l_partkey", "p_partkey")))
-    top = top_n_other(lines, "p_brand", {"n": rows(), "revenue": F.sum(net_price())}, "revenue", 7)
+    top = top_n_other(lines, "p_brand", {"n": rows(), "revenue": net_total()}, "revenue", 7)
     return top.withColumn("revenue", F.col("revenue").cast("double"))
 
 

@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import amount, net_price, revenue, rows, total
+from ...functions.measures import cents, from_cents, net_units, revenue, rows, total
 from ...operators import series as S
 from ...sources.tables import table
 from ..registry import query
@@ -66,7 +66,7 @@ from events group by all"""
 
 def _cents(spark, sf_dir):
     return S.series(table(spark, sf_dir, "events"), "ts", "day",
-                    {"cents": (F.sum(amount("value")) * 100).cast("bigint")}, ["event_type"])
+                    {"cents": F.sum(cents("value"))}, ["event_type"])
 
 
 @query("moving", f"""
@@ -91,8 +91,8 @@ with r as (select user_id, ts as t,
 select distinct user_id, t, value, n from r""")
 def user_week(spark, sf_dir):
     found = S.rolling(table(spark, sf_dir, "events"), ["user_id"], "ts", timedelta(days=7),
-                      {"value": amount("value"), "n": F.lit(1)})
-    return found.withColumn("value", F.col("value").cast("double"))
+                      {"value": cents("value"), "n": F.lit(1)})
+    return found.withColumn("value", from_cents("value"))
 
 
 @query("rolling_days", f"""
@@ -104,8 +104,8 @@ from d window w as (partition by l_returnflag order by t
                     range between interval 30 day preceding and current row)""")
 def shipping_month(spark, sf_dir):
     found = S.rolling(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_shipdate",
-                      timedelta(days=30), {"revenue": net_price(), "n": F.lit(1)})
-    return found.withColumn("revenue", F.col("revenue").cast("double"))
+                      timedelta(days=30), {"revenue": net_units(), "n": F.lit(1)})
+    return found.withColumn("revenue", F.col("revenue").cast("double") / 10_000.0)
 
 
 @query("zscore", f"""

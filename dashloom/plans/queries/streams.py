@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import amount, rows, total
+from ...functions.measures import cents, from_cents, rows, total
 from ...operators.aggregates import breakdown
 from ...sources.tables import event_stream, table
 from ...streaming import live as L
@@ -14,11 +14,11 @@ _MARK = "(select max(ts) - interval 1 hour from events)"
 
 
 def _measures():
-    return {"n": rows(), "value": F.sum(amount("value"))}
+    return {"n": rows(), "value": F.sum(cents("value"))}
 
 
 def _plain(df):
-    return df.withColumn("value", F.col("value").cast("double"))
+    return df.withColumn("value", from_cents("value"))
 
 
 @query("live_series", f"""

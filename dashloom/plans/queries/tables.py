@@ -4,8 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ...functions.grain import truncate
-from ...functions.measures import amount, rows, total
+from ...functions.grain import GRAINS, truncate
+from ...functions.measures import cents, from_cents, rows, total
 from ...operators.aggregates import breakdown, kpi
 from ...operators.filters import Filter, apply_filters, derive, json_dim
 from ...operators.sets import stack
@@ -33,13 +33,13 @@ def event_stream_totals(spark, sf_dir):
 
 
 def _event_rollup(df):
-    return daily_rollup(df, "ts", ["event_type"], {"value": amount("value")}, "user_id")
+    return daily_rollup(df, "ts", ["event_type"], {"value": cents("value")}, "user_id")
 
 
 def _days(rollup):
     merged = merge_rollup(rollup, ["day", "event_type"], ["value"])
     return merged.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n",
-                         F.col("value").cast("double").alias("value"))
+                         from_cents("value").alias("value"))
 
 
 _DAILY = f"""
@@ -76,7 +76,7 @@ def rollup_range(spark, sf_dir):
     write_rollup(_event_rollup(events), path)
     days = read_rollup(spark, path, lo.date(), hi.date())
     found = merge_rollup(days, ["event_type"], ["value"]).select(
-        "event_type", "n", F.col("value").cast("double").alias("value"),
+        "event_type", "n", from_cents("value").alias("value"),
         F.hll_sketch_estimate("users").alias("_estimate"))
     exact = (apply_filters(events, [Filter("ts", "between", (lo, hi))])
              .groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users")))
@@ -127,9 +127,8 @@ def json_breakdown(spark, sf_dir):
 
 @query("grains", " union all ".join(f"""
 select '{g}' as grain, cast(date_trunc('{g}', ts) as timestamp) as t, count(*) as n
-from events group by all""" for g in ("minute", "hour", "day", "week", "month", "quarter", "year")))
+from events group by all""" for g in GRAINS))
 def every_grain(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return stack(*[breakdown(events, [F.lit(g).alias("grain"), truncate("ts", g).alias("t")],
-                             {"n": rows()})
-                   for g in ("minute", "hour", "day", "week", "month", "quarter", "year")])
+    each = [F.struct(F.lit(g).alias("grain"), truncate("ts", g).alias("t")) for g in GRAINS]
+    points = table(spark, sf_dir, "events").select(F.inline(F.array(*each)))
+    return breakdown(points, ["grain", "t"], {"n": rows()})
