@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import in_order, running_sums
-from .skew import DEFAULT, HotRule, find_hot
+from .skew import DEFAULT, HotRule
 
 Dim = str | Column
 Measures = Mapping[str, Column]
@@ -73,8 +73,7 @@ def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float
     counted = (df.filter(F.col(col).isNotNull())
                .groupBy(*dims, F.col(col).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    # Rows per group bound its distinct values, and are counted without these.
-    ordered = in_order(counted, dims, [F.col("_v")], rule, parts, hot=find_hot(df, dims, rule))
+    ordered = in_order(counted, dims, [F.col("_v")], rule, parts, count=df)
     ranked = running_sums(ordered, {"_upto": F.col("_n")})
     last, below = F.col("_upto") - 1, F.col("_upto") - F.col("_n")
     size = F.col("_upto_total")

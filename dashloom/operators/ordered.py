@@ -51,12 +51,13 @@ def _so_far(by: Sequence[str], order: Sequence[Column]) -> WindowSpec:
 
 def in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
              rule: HotRule = DEFAULT, parts: int | None = None,
-             hot: DataFrame | None = None) -> Ordered:
+             count: DataFrame | None = None) -> Ordered:
     """Split `df` into ordinary and hot keys. Without `by` the table is one key.
 
-    `hot` gives the hot keys where they are known already.
+    The rows per key are counted in `count`, where that is cheaper to read than
+    `df` and holds at least as many.
     """
-    hot = find_hot(df, by, rule) if hot is None else hot
+    hot = find_hot(df if count is None else count, by, rule)
     if hot is None:
         return Ordered(df, None, tuple(by), tuple(order))
     if not by:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grain import STEPS, truncate
 from .ordered import in_order, running_sums
-from .skew import DEFAULT, HotRule, find_hot
+from .skew import DEFAULT, HotRule
 
 
 def series(df: DataFrame, time: str, grain: str, measures: Mapping[str, Column],
@@ -91,9 +91,8 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
         *by, (F.col("t") + span).alias("t"),
         *[(-F.col(n)).alias(n) for n in values], F.lit(1).alias("_leaving"))
     order = [F.col("t"), F.col("_leaving")]
-    # Rows per key bound its moments, and are counted without building them.
-    ordered = in_order(enter.unionByName(leave), by, order, rule, parts,
-                       hot=find_hot(df, by, rule))
+    # Each of the two sides has at most one row per row of `df`.
+    ordered = in_order(enter.unionByName(leave), by, order, rule, parts, count=df)
     sums = running_sums(ordered, {f"_{n}": F.col(n) for n in values})
     return sums.filter(F.col("_leaving") == 0).select(
         *by, "t", *[F.col(f"_{n}").alias(n) for n in values])

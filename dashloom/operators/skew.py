@@ -29,14 +29,16 @@ DEFAULT = HotRule()
 def find_hot(df: DataFrame, by: Sequence[str], rule: HotRule = DEFAULT) -> DataFrame | None:
     """The hot keys, or None where there are none. Counts the rows per key.
 
-    Without key columns the whole table is one key, and the result says only that it is hot.
+    Without key columns the whole table is one key, and the result says only that
+    it is hot.
     """
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(F.lit(rule.min_rows).cast("double"), F.sum("_n") * F.lit(rule.share))
-    if not by:
-        return counts if df.count() > rule.min_rows else None
-    hot = freeze(counts.filter(F.col("_n") > counts.agg(limit).scalar()).select(*by), "hot")
-    return None if hot.isEmpty() else hot
+    # One row: the size of the largest key and of the table.
+    largest, size = counts.agg(F.max("_n"), F.sum("_n")).first()
+    limit = max(rule.min_rows, (size or 0) * rule.share)
+    if (largest or 0) <= limit:
+        return None
+    return freeze(counts.filter(F.col("_n") > limit).select(*by), "hot") if by else counts
 
 
 def only(df: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:

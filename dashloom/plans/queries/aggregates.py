@@ -234,7 +234,7 @@ from orders join customer on o_custkey = c_custkey join nation on c_nationkey =
   join region on n_regionkey = r_regionkey
 group by rollup (r_name, n_name, c_mktsegment)""")
 def market_subtotals(spark, sf_dir):
-    t = load(spark, sf_dir)
+    t = load(spark, sf_dir, "orders", "customer", "nation", "region")
     orders = star(t["orders"], (t["customer"], ("o_custkey", "c_custkey")),
                   (t["nation"], ("c_nationkey", "n_nationkey")),
                   (t["region"], ("n_regionkey", "r_regionkey")))

@@ -22,7 +22,7 @@ from lineitem join orders on l_orderkey = o_orderkey
 where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'
 group by r_name, n_name""")
 def star_revenue(spark, sf_dir):
-    t = load(spark, sf_dir)
+    t = load(spark, sf_dir, "lineitem", "orders", "customer", "nation", "region")
     orders = apply_filters(
         t["orders"], [Filter("o_orderdate", "between", (datetime(1996, 1, 1), datetime(1997, 1, 1)))])
     lines = star(t["lineitem"], (orders, ("l_orderkey", "o_orderkey")),

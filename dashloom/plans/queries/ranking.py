@@ -41,7 +41,7 @@ with g as (select r_name, o_custkey, sum({NET_PRICE}) as v
            from g)
 select r_name, o_custkey, cast(v as double) as value, rank_no from r where rank_no <= 5""")
 def best_customers(spark, sf_dir):
-    t = load(spark, sf_dir)
+    t = load(spark, sf_dir, "lineitem", "orders", "customer", "nation", "region")
     lines = star(t["lineitem"], (t["orders"], ("l_orderkey", "o_orderkey")),
                  (t["customer"], ("o_custkey", "c_custkey")),
                  (t["nation"], ("c_nationkey", "n_nationkey")),

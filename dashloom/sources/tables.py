@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
-          "lineitem", "events", "documents", "labels")
+# Given, so that building a panel starts no job that looks them up.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+TABLES = tuple(SCHEMAS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table; other names than those above get the schema their files have."""
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
@@ -23,7 +43,7 @@ def event_stream(
     sf_dir: str,
     files: str = "events.parquet",
     time: str = "ts",
-    schema=None,
+    schema: str = SCHEMAS["events"],
     max_files: int | None = None,
 ) -> DataFrame:
     """Stream of events from parquet files in a folder.
@@ -32,8 +52,6 @@ def event_stream(
     `files="*.parquet"`. Watermarks need a time with a zone, so `time` becomes
     `timestamp`; the live panels turn it back into `timestamp_ntz`.
     """
-    if schema is None:
-        schema = spark.read.option("pathGlobFilter", files).parquet(sf_dir).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

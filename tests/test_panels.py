@@ -269,3 +269,9 @@ def test_one_scan_per_panel(spark, sf):
 def test_tables_are_lazy(spark, sf):
     t = load(spark, sf)
     assert len(t) == 10 and plan(t["orders"].select("o_orderkey")).count("o_orderkey:bigint") == 1
+
+
+def test_given_schemas_are_those_of_the_files(spark, sf):
+    for name, df in load(spark, sf).items():
+        found = spark.read.parquet(f"{sf}/{name}.parquet")
+        assert df.schema == found.schema, name

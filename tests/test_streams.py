@@ -33,8 +33,7 @@ class Folder:
          .write.mode("append").parquet(self.path))
 
     def stream(self):
-        schema = self.spark.createDataFrame([], SCHEMA).schema
-        return event_stream(self.spark, self.path, "*.parquet", schema=schema, max_files=1)
+        return event_stream(self.spark, self.path, "*.parquet", schema=SCHEMA, max_files=1)
 
 
 @pytest.fixture
