@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import freeze
-
 
 @dataclass(frozen=True)
 class HotRule:
@@ -22,30 +19,43 @@ class HotRule:
     share: float = 1 / 10_000
     min_rows: int = 1_000_000
 
+    @property
+    def most(self) -> int:
+        return min(TRACKED, round(1 / self.share)) if self.share else TRACKED
+
 
 DEFAULT = HotRule()
 
+# Keys a sketch keeps: enough to find every key with a share of 1/10,000 for sure.
+TRACKED = 100_000
+_GROUPS = 64
+
 
 def find_hot(df: DataFrame, by: Sequence[str], rule: HotRule = DEFAULT) -> DataFrame | None:
-    """The hot keys, or None where there are none. Counts the rows per key.
+    """Hashes of the hot keys, or None where there are none.
 
-    Without key columns the whole table is one key, and the result says only that
-    it is hot.
+    A frequency sketch of every input partition replaces a count per key, so that
+    no keys are shuffled; the sketches are merged in groups, then the groups. What
+    comes back is at most 1/share hashes. Without key columns the whole table is
+    one key.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    # One row: the size of the largest key and of the table.
-    largest, size = counts.agg(F.max("_n"), F.sum("_n")).first()
-    limit = max(rule.min_rows, (size or 0) * rule.share)
-    if (largest or 0) <= limit:
+    n = df.count()
+    if n <= rule.min_rows:
         return None
-    return freeze(counts.filter(F.col("_n") > limit).select(*by), "hot") if by else counts
-
-
-def only(df: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """Rows with (`left_semi`) or without (`left_anti`) one of the few keys; nulls match."""
-    keys = F.broadcast(keys.select(*[F.col(b).alias(f"_hot_{b}") for b in by]))
-    same = reduce(lambda x, y: x & y, [df[b].eqNullSafe(F.col(f"_hot_{b}")) for b in by])
-    return df.join(keys, same, how)
+    group = (F.spark_partition_id() % _GROUPS).alias("_group")
+    sketches = df.select(group, F.xxhash64(*(by or [F.lit(0)])).alias("_hash")).groupBy("_group")
+    merged = (
+        sketches.agg(F.expr(f"approx_top_k_accumulate(_hash, {TRACKED})").alias("_sketch"))
+        .agg(F.expr(f"approx_top_k_combine(_sketch, {TRACKED})").alias("_sketch")))
+    found = merged.select(F.expr(f"approx_top_k_estimate(_sketch, {rule.most})")).first()[0]
+    limit = max(rule.min_rows, n * rule.share)
+    hot = [(item,) for item, count in found if count > limit]
+    return df.sparkSession.createDataFrame(hot, "_hash bigint") if hot else None
+
+
+def only(df: DataFrame, hot: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Rows with (`left_semi`) or without (`left_anti`) a hot key; null is a key."""
+    return df.join(F.broadcast(hot), F.xxhash64(*by) == F.col("_hash"), how)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str,

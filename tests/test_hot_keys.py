@@ -15,7 +15,7 @@ from dashloom.operators.joins import asof_latest
 from dashloom.operators.ordered import CHUNK, in_order
 from dashloom.operators.ranking import pareto
 from dashloom.operators.series import rolling
-from dashloom.operators.skew import HotRule, find_hot
+from dashloom.operators.skew import HotRule, find_hot, only
 
 # Nothing hot, some keys hot, every key hot.
 RULES = [HotRule(), HotRule(share=0.2, min_rows=20), HotRule(share=0.0, min_rows=0)]
@@ -137,8 +137,20 @@ def test_hot_rule(spark):
     df = spark.createDataFrame([(1,)] * 60 + [(None,)] * 30 + [(i,) for i in range(2, 12)], "k long")
     assert find_hot(df, ["k"]) is None
     hot = find_hot(df, ["k"], HotRule(share=0.25, min_rows=10))
-    assert {r.k for r in hot.collect()} == {1, None}
+    assert {r.k for r in only(df, hot, ["k"], "left_semi").collect()} == {1, None}
+    assert only(df, hot, ["k"], "left_anti").count() == 10
     assert find_hot(df, ["k"], HotRule(share=0.25, min_rows=50)).count() == 1
+    assert find_hot(df.limit(0), ["k"], HotRule(share=0.25, min_rows=0)) is None
+    assert find_hot(df, [], HotRule(min_rows=99)) is not None
+    assert find_hot(df, [], HotRule(min_rows=100)) is None
+
+
+def test_hot_keys_are_found_among_many(spark):
+    """A share of 1/5,000 stands out from two million keys seen once."""
+    df = spark.range(0, 2_000_000, 1, 40).select(
+        F.when(F.col("id") % 5000 == 1, -1).otherwise(F.col("id")).alias("k"))
+    hot = find_hot(df, ["k"], HotRule(min_rows=100))
+    assert [r.k for r in only(df, hot, ["k"], "left_semi").distinct().collect()] == [-1]
 
 
 def test_chunks_are_even(spark):
