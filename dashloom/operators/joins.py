@@ -23,7 +23,7 @@ def _pairs(keys: Key | Sequence[Key]) -> list[tuple[str, str]]:
 def star(fact: DataFrame, *dims: tuple[DataFrame, Key], how: str = "inner") -> DataFrame:
     """Join a fact to dimensions: `star(lineitem, (orders, ("l_orderkey", "o_orderkey")))`.
 
-    No hints: Spark broadcasts a dimension when its size allows and otherwise
+    The dimension's key takes the name it has in the fact. No hints: Spark broadcasts a dimension when its size allows and otherwise
     shuffles, with adaptive splitting of skewed keys.
     """
     for dim, key in dims:

@@ -54,8 +54,8 @@ def in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
              count: DataFrame | None = None) -> Ordered:
     """Split `df` into ordinary and hot keys. Without `by` the table is one key.
 
-    The rows per key are counted in `count`, where that is cheaper to read than
-    `df` and holds at least as many.
+    Hot keys are looked for in `count`, where that is cheaper to read than `df` and
+    has about as many rows per key.
     """
     hot = find_hot(df if count is None else count, by, rule)
     if hot is None:

@@ -111,6 +111,7 @@ def drain(stream: DataFrame, mode: str = "append", name: str = "live") -> DataFr
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:
+        spark.createDataFrame([], stream.schema).write.parquet(out)
         writer = writer.foreachBatch(
             lambda batch, _: batch.write.mode("overwrite").parquet(out))
     query = (writer.option("checkpointLocation", f"{base}/checkpoint")

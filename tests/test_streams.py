@@ -71,6 +71,12 @@ def test_late_rows_are_dropped(spark, folder, tmp_path):
     assert rows(got.select("window_start", "n")) == [(at(0), 2)]
 
 
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_empty_stream(folder, mode):
+    series = L.live_series(folder.stream(), "ts", "1 hour", "1 hour", {"n": F.count(F.lit(1))})
+    assert L.drain(series, mode).collect() == []
+
+
 def test_complete_equals_batch(spark, folder):
     folder.add(*[_event(i, at(i * 7 % 300), i % 5) for i in range(60)])
     folder.add(*[_event(i, at(i * 11 % 300), i % 5) for i in range(60, 100)])
