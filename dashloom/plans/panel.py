@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grain import truncate
+from ..operators.aggregates import breakdown
 from ..operators.filters import Filter, apply_filters, derive
 from ..operators.joins import star
+from ..operators.ranking import top_n_other
+from ..sources.rollups import read_rollup
 from ..sources.tables import table
 
 
@@ -28,7 +31,10 @@ class Panel:
     """What to show.
 
     `order` names result columns, "-" in front for descending; it should end in a
-    column that makes the order complete where there is a limit.
+    column that makes the order complete where there is a limit. `top` (measure, n)
+    keeps the n largest values of the one dimension and adds up all others, so it
+    needs measures that can be added. `rollup` is the path of a rollup table that is
+    read in place of the source; its measures then add up stored columns.
     """
 
     source: str
@@ -40,16 +46,22 @@ class Panel:
     grain: tuple[str, str] | None = None  # time column, grain
     order: tuple[str, ...] = ()
     limit: int | None = None
+    top: tuple[str, int] | None = None
+    rollup: str | None = None
 
 
 def run_panel(spark: SparkSession, sf_dir: str, panel: Panel) -> DataFrame:
     """The panel's rows; one scan of the source."""
-    df = table(spark, sf_dir, panel.source)
+    if panel.top and (panel.grain or len(panel.dims) != 1):
+        raise ValueError("top needs exactly one dimension and no grain")
+    df = read_rollup(spark, panel.rollup) if panel.rollup else table(spark, sf_dir, panel.source)
     df = star(df, *[(table(spark, sf_dir, j.table), (j.left, j.right)) for j in panel.joins])
     df = derive(apply_filters(df, panel.filters), **panel.derived)
-    groups = [truncate(*panel.grain).alias("t")] if panel.grain else []
-    df = df.groupBy(*groups, *panel.dims).agg(
-        *[c.alias(n) for n, c in panel.measures.items()])
+    if panel.top:
+        df = top_n_other(df, panel.dims[0], panel.measures, *panel.top)
+    else:
+        groups = [truncate(*panel.grain).alias("t")] if panel.grain else []
+        df = breakdown(df, [*groups, *panel.dims], panel.measures)
     if panel.order:
         df = df.orderBy(*[F.col(c[1:]).desc_nulls_last() if c.startswith("-")
                           else F.col(c).asc_nulls_last() for c in panel.order])

@@ -4,11 +4,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import revenue, rows, total
+from ...functions.measures import cents, from_cents, net_total, revenue, rows, total
 from ...operators.filters import Filter
+from ...session import new_path
+from ...sources.rollups import daily_rollup, write_rollup
+from ...sources.tables import table
 from ..panel import Join, Panel, run_panel
 from ..registry import query
-from .sql import ORDER_TOTAL, REVENUE, VALUE_TOTAL
+from .sql import NET_PRICE, ORDER_TOTAL, REVENUE, VALUE_TOTAL
 
 
 @query("run_panel", f"""
@@ -59,3 +62,38 @@ def busy_hours(spark, sf_dir):
 def order_tiles(spark, sf_dir):
     return run_panel(spark, sf_dir, Panel(
         source="orders", measures={"n": rows(), "total": total("o_totalprice")}))
+
+
+@query("run_panel_top", f"""
+with g as (select c_mktsegment, sum({NET_PRICE}) as v, count(*) as n
+           from lineitem join orders on l_orderkey = o_orderkey
+             join customer on o_custkey = c_custkey
+           where l_shipdate >= timestamp '1998-01-01' group by all),
+     r as (select *, row_number() over (order by v desc, c_mktsegment) > 2 as is_other from g)
+select case when is_other then 'Other' else c_mktsegment end as c_mktsegment, is_other,
+       cast(sum(v) as double) as revenue, cast(sum(n) as bigint) as n
+from r group by 1, 2""")
+def best_segments(spark, sf_dir):
+    found = run_panel(spark, sf_dir, Panel(
+        source="lineitem",
+        joins=(Join("orders", "l_orderkey", "o_orderkey"),
+               Join("customer", "o_custkey", "c_custkey")),
+        filters=(Filter("l_shipdate", "between", (datetime(1998, 1, 1), None)),),
+        dims=("c_mktsegment",), measures={"revenue": net_total(), "n": rows()},
+        top=("revenue", 2)))
+    return found.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@query("run_panel_rollup", f"""
+select cast(date_trunc('week', ts) as timestamp) as t, event_type, count(*) as n,
+       {VALUE_TOTAL} as value
+from events where ts >= timestamp '2024-01-08' group by all""")
+def weeks_from_rollup(spark, sf_dir):
+    path = new_path(spark, "rollup")
+    write_rollup(daily_rollup(table(spark, sf_dir, "events"), "ts", ["event_type"],
+                              {"value": cents("value")}, "user_id"), path)
+    found = run_panel(spark, sf_dir, Panel(
+        source="events", rollup=path, grain=("day", "week"), dims=("event_type",),
+        filters=(Filter("day", "between", (datetime(2024, 1, 8).date(), None)),),
+        measures={"n": F.sum("n"), "value": F.sum("value")}))
+    return found.withColumn("value", from_cents("value"))

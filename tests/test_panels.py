@@ -16,6 +16,7 @@ from dashloom.operators.filters import Filter, apply_filters, json_dim
 from dashloom.operators.joins import in_segment, not_in_segment, orphans, star, within
 from dashloom.operators.ranking import rows_after, top_n_other, top_per_group
 from dashloom.operators.sets import members, period_diff, stack
+from dashloom.plans.panel import Panel, run_panel
 from dashloom.sources.tables import load, table
 
 
@@ -275,3 +276,10 @@ def test_given_schemas_are_those_of_the_files(spark, sf):
     for name, df in load(spark, sf).items():
         found = spark.read.parquet(f"{sf}/{name}.parquet")
         assert df.schema == found.schema, name
+
+
+def test_top_panel_needs_one_dimension(spark, sf):
+    for wrong in ({"dims": ()}, {"dims": ("o_custkey", "o_orderstatus")},
+                  {"dims": ("o_custkey",), "grain": ("o_orderdate", "month")}):
+        with pytest.raises(ValueError):
+            run_panel(spark, sf, Panel("orders", {"n": F.count(F.lit(1))}, top=("n", 2), **wrong))
