@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,16 +51,12 @@ def funnel_times(df: DataFrame, user: str, time: str, kind: str, steps: Sequence
     """
     df = df.filter(F.col(user).isNotNull())
     hot = find_hot(df.filter(F.col(kind).isin(list(steps))), [user], rule)
-    reached = (df.filter(F.col(kind) == steps[0]).groupBy(user)
-               .agg(F.min(time).alias("t1")))
+    times = [df.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(time).alias("t1"))]
     for i, step in enumerate(steps[1:], start=2):
-        after = reached.filter(F.col(f"t{i - 1}").isNotNull()).select(
-            user, F.col(f"t{i - 1}").alias("_after"))
         events = df.filter(F.col(kind) == step).select(user, F.col(time).alias("_t"))
-        later = lookup_join(events, after, user, hot).filter(F.col("_t") > F.col("_after"))
-        reached = reached.join(
-            later.groupBy(user).agg(F.min("_t").alias(f"t{i}")), user, "left")
-    return reached
+        later = lookup_join(events, times[-1], user, hot).filter(F.col("_t") > F.col(f"t{i - 1}"))
+        times.append(later.groupBy(user).agg(F.min("_t").alias(f"t{i}")))
+    return reduce(lambda a, b: a.join(b, user, "left"), times)
 
 
 def funnel(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str],

@@ -75,7 +75,9 @@ def top_n_other(df: DataFrame, dim: str, measures: Mapping[str, Column], by: str
     broadcast to mark the others.
     """
     grouped = df.groupBy(dim).agg(*[c.alias(m) for m, c in measures.items()])
-    top = (grouped.orderBy(F.col(by).desc(), F.col(dim)).limit(n)
+    # The dimension makes the order complete. The measures behind it keep both uses
+    # of `grouped` alike, so that Spark computes it once.
+    top = (grouped.orderBy(F.col(by).desc(), F.col(dim), *measures).limit(n)
            .select(F.col(dim).alias("_top")).withColumn("_in", F.lit(True)))
     marked = grouped.join(F.broadcast(top), F.col(dim).eqNullSafe(F.col("_top")), "left")
     is_other = F.col("_in").isNull()

@@ -31,17 +31,23 @@ def fill_gaps(points: DataFrame, grain: str, lo: date | datetime, hi: date | dat
               dims: Sequence[str] = (), default: float = 0) -> DataFrame:
     """One row for every grain from lo to hi (both included), per dimension value.
 
-    The calendar is a sequence of literals exploded for each dimension value.
+    Expects one row per grain and dimension value. Each row also stands for the
+    missing grains up to the next one, so nothing has to be joined.
     """
-    ends = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
-    calendar = F.explode(F.sequence(*ends, F.expr(STEPS[grain]))).alias("t")
-    if dims:
-        spine = points.select(*dims).distinct().select(*dims, calendar)
-    else:
-        spine = points.sparkSession.range(1).select(calendar)
-    filled = spine.join(points, ["t", *dims], "left")
+    lo, hi = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
+    step, at = F.expr(STEPS[grain]), F.col("t")
     values = [c for c in points.columns if c not in ("t", *dims)]
-    return filled.fillna(default, values)
+    if not dims:
+        spine = points.sparkSession.range(1).select(F.explode(F.sequence(lo, hi, step)).alias("t"))
+        return spine.join(points, "t", "left").fillna(default, values)
+    w = W.partitionBy(*dims).orderBy("t")
+    first = F.when(F.row_number().over(w) == 1, lo).otherwise(F.greatest(at, lo))
+    last = F.least(F.lead("t").over(w) - step, hi)  # of null and hi it is hi
+    spans = points.withColumns({"_first": first, "_last": last})
+    grains = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last", step))
+    every = spans.select("*", F.explode(grains).alias("_t"))
+    kept = [F.when(F.col("_t") == at, F.col(v)).alias(v) for v in values]
+    return every.select(F.col("_t").alias("t"), *dims, *kept).fillna(default, values)
 
 
 def _ordered(dims: Sequence[str]) -> WindowSpec:

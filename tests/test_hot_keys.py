@@ -172,3 +172,27 @@ def test_carry_is_small(spark):
     carry = carry_over(chunks, {"s": (F.sum("v"), F.sum)})
     assert carry.count() <= 2 * chunks.select(CHUNK).distinct().count()
     assert "SinglePartition" not in plan(chunks)
+
+
+def test_skewed_joins_are_split(spark):
+    """Joins without a broadcast: adaptive execution splits the hot key's partition."""
+    from dashloom.operators.joins import in_segment, star
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100000",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200000",
+            "spark.sql.shuffle.partitions": "20"}
+    spark = spark.newSession()  # settings of its own
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    fact = spark.range(0, 300_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.xxhash64("id").alias("v"))
+    dim = spark.range(300_000).select(F.col("id").alias("key"), (F.col("id") % 7).alias("d"))
+    joined = star(fact, (dim, ("k", "key"))).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    assert sum(r.n for r in joined.collect()) == 300_000
+    assert "skew=true" in plan(joined)
+    inside = in_segment(fact, dim.filter("d = 0"), ("k", "key"))
+    assert len(inside.collect()) == fact.filter("k % 7 = 0").count()
+    assert "skew=true" in plan(inside)

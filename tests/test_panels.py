@@ -137,6 +137,18 @@ def test_gaps_and_previous(spark):
     assert S.fill_gaps(by, "month", dt.date(2024, 1, 1), dt.date(2024, 4, 1), ["d"]).count() == 4
 
 
+def test_gaps_per_dimension(spark):
+    """Values inside, around and outside the range, and a value that is null."""
+    day = [dt.datetime(2024, 1, d) for d in range(1, 11)]
+    given = [("a", 4), ("a", 6), ("b", 1), ("b", 9), ("c", 2), (None, 5), ("d", 8)]
+    df = spark.createDataFrame([(day[i], d, i) for d, i in given],
+                               "t timestamp_ntz, d string, v long")
+    got = rows(S.fill_gaps(df, "day", day[3].date(), day[7], ["d"], -1))
+    want = [(day[i], d, i if (d, i) in given else -1)
+            for d in ("a", "b", "c", "d", None) for i in range(3, 8)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_zscore_without_variation(spark):
     df = spark.createDataFrame([(at(i), 5.0) for i in range(5)], "t timestamp_ntz, v double")
     assert [r.zscore for r in S.zscore(df, "v", 3).collect()] == [None] * 5
@@ -263,8 +275,14 @@ def test_custom_measure_merges_batches(spark, sales):
 
 def test_one_scan_per_panel(spark, sf):
     from dashloom.plans.queries.aggregates import order_facets, tiles
-    for query in (tiles, order_facets):
-        assert plan(query(spark, sf)).count("FileScan") == 1
+    from dashloom.plans.queries.ranking import top_brands
+    from dashloom.plans.queries.series import hourly_without_gaps, year_over_year
+    for query, scans in ((tiles, 1), (order_facets, 1), (hourly_without_gaps, 1),
+                         (year_over_year, 1), (top_brands, 2)):
+        df = query(spark, sf)
+        df.collect()
+        final = plan(df).split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == scans, query
 
 
 def test_tables_are_lazy(spark, sf):
