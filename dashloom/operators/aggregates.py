@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from .ordered import in_order, running_sums
 from .skew import DEFAULT, HotRule
 
@@ -73,7 +74,8 @@ def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float
     counted = (df.filter(F.col(col).isNotNull())
                .groupBy(*dims, F.col(col).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
-    ordered = in_order(counted, dims, [F.col("_v")], rule, parts, count=df)
+    # Written once, as looking for hot groups and the ordering both read it.
+    ordered = in_order(freeze(counted, "counted"), dims, [F.col("_v")], rule, parts)
     ranked = running_sums(ordered, {"_upto": F.col("_n")})
     last, below = F.col("_upto") - 1, F.col("_upto") - F.col("_n")
     size = F.col("_upto_total")

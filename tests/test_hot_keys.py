@@ -190,7 +190,8 @@ def test_skewed_joins_are_split(spark):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
         F.xxhash64("id").alias("v"))
     dim = spark.range(300_000).select(F.col("id").alias("key"), (F.col("id") % 7).alias("d"))
-    joined = star(fact, (dim, ("k", "key"))).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    joined = star(fact, (dim, ("k", "key"))).groupBy("d").agg(
+        F.count(F.lit(1)).alias("n"), F.max("v"))
     assert sum(r.n for r in joined.collect()) == 300_000
     assert "skew=true" in plan(joined)
     inside = in_segment(fact, dim.filter("d = 0"), ("k", "key"))
