@@ -32,7 +32,7 @@ def custom_measure(
     df: DataFrame,
     dims: Sequence[str],
     inputs: Sequence[str],
-    partial: Callable[[pd.DataFrame], Mapping[str, object]],
+    partial: Callable[[pd.DataFrame], dict[str, object]],
     state: Mapping[str, tuple[str, Callable[[Column], Column]]],
     finish: Callable[..., pd.Series],
     kind: str,
@@ -42,21 +42,27 @@ def custom_measure(
 
     `partial` turns the rows of one group in one Arrow batch into state values,
     `state` gives each value's type and the aggregate that merges it (such as
-    `F.sum`), `finish` computes the result from the merged state.
+    `F.sum`), `finish` computes the result from the merged state. Python never holds
+    more than a batch, however large a group is.
     """
-    fields = df.select(*dims).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    kinds = {f.name: f.dataType for f in df.select(*dims).schema}
+    # As text, since pandas turns whole numbers with nulls into floats.
+    texts = [F.col(d).cast("string").alias(d) for d in dims]
+    schema = ", ".join([f"`{d}` string" for d in dims]
                        + [f"`{s}` {t}" for s, (t, _) in state.items()])
     dims, names = list(dims), [*dims, *state]
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*key, *[found[s] for s in state])
-                    for key, group in batch.groupby(dims, dropna=False)
-                    for found in [partial(group)]]
-            yield pd.DataFrame(rows, columns=names)
+            groups = batch.groupby(dims, dropna=False) if dims else [((), batch)]
+            found = []
+            for key, group in groups:
+                values = partial(group)
+                found.append((*key, *[values[s] for s in state]))
+            yield pd.DataFrame(found, columns=names)
 
-    parts = df.select(*dims, *inputs).mapInPandas(per_batch, schema)
+    parts = df.select(*texts, *inputs).mapInPandas(per_batch, schema)
     merged = parts.groupBy(*dims).agg(
         *[merge(F.col(s)).alias(s) for s, (_, merge) in state.items()])
-    return merged.select(*dims, F.pandas_udf(finish, kind)(*state).alias(name))
+    return merged.select(*[F.col(d).cast(kinds[d]).alias(d) for d in dims],
+                         F.pandas_udf(finish, kind)(*state).alias(name))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,18 +36,17 @@ def truncate(time: str | Column, grain: str) -> Column:
     raise ValueError(f"unknown grain {grain!r}; one of {GRAINS}")
 
 
-def micros(df: DataFrame, time: str) -> Column:
-    """Microseconds since 1970 of a date or timestamp column, as bigint."""
-    t = F.col(time)
-    if isinstance(df.schema[time].dataType, T.TimestampType):
-        return F.unix_micros(t)
-    days = F.unix_date(F.to_date(t)).cast("bigint") * F.lit(86_400_000_000)
-    if isinstance(df.schema[time].dataType, T.DateType):
+def seconds(df: DataFrame, time: str) -> Column:
+    """Whole seconds since 1970 of a date or timestamp column, as bigint."""
+    t, kind = F.col(time), df.schema[time].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(t)
+    days = F.unix_date(F.to_date(t)).cast("bigint") * F.lit(86_400)
+    if isinstance(kind, T.DateType):
         return days
-    clock = F.hour(t) * F.lit(3600) + F.minute(t) * F.lit(60)
-    seconds = F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)
-    return days + clock.cast("bigint") * F.lit(1_000_000) + seconds.cast("bigint")
+    return days + F.hour(t) * F.lit(3600) + F.minute(t) * F.lit(60) + F.second(t)
 
 
-def width_micros(width: timedelta) -> int:
-    return width // timedelta(microseconds=1)
+def time_bucket(df: DataFrame, time: str, width: int) -> Column:
+    """Number of the span of `width` whole seconds a time lies in."""
+    return F.floor(seconds(df, time) / F.lit(width)).cast("bigint")

@@ -157,9 +157,13 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def first_last(df: DataFrame, dims: Sequence[str], col: str, time: str,
-               tie: str) -> DataFrame:
-    """First and last value by time, the tie-break deciding equal times."""
-    order = F.struct(time, tie)
+               tie: str | None = None) -> DataFrame:
+    """First and last value by time, the tie-break deciding equal times.
+
+    Without a tie-break numbers are aggregated by hashing; with one, Spark sorts
+    the rows of a task by group first.
+    """
+    order = F.struct(time, tie) if tie else F.col(time)
     return df.groupBy(*dims).agg(
         F.min_by(col, order).alias("first_value"), F.max_by(col, order).alias("last_value"))
 

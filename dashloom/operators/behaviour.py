@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grain import micros, width_micros
+from ..functions.grain import time_bucket
 from .skew import DEFAULT, HotRule, find_hot, lookup_join
 
 
@@ -18,13 +18,15 @@ def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
              sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Sessions of a user: a pause longer than `gap` starts a new one.
 
-    Same sessions as `session_window`. Rows of a user in the same time bucket of
-    width `gap` are always in one session, so they are combined before the
+    Same sessions as `session_window`. Rows of a user in the same time bucket, no
+    wider than `gap`, are always in one session, so they are combined before the
     shuffle, and the window over a user sees one row per bucket: as many as gaps
-    fit into the time range, however busy the user is.
+    fit into the time range, however busy the user is. Gaps are a second or more.
     """
-    sums = sums or {}
-    bucket = F.floor(micros(df, time) / F.lit(width_micros(gap))).cast("bigint")
+    sums, width = sums or {}, gap // timedelta(seconds=1)
+    if width < 1:
+        raise ValueError("the gap must be at least one second")
+    bucket = time_bucket(df, time, width)
     short = df.filter(F.col(time).isNotNull()).groupBy(user, bucket.alias("_bucket")).agg(
         F.min(time).alias("_first"), F.max(time).alias("_last"),
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{m}") for m, c in sums.items()])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grain import micros, width_micros
+from ..functions.grain import time_bucket
 from .ordered import CHUNK, KEY, carry_over, in_order
 from .skew import DEFAULT, HotRule
 
@@ -100,17 +100,14 @@ def within(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str,
            delta: timedelta) -> DataFrame:
     """Pairs of the same key where b is 0 to `delta` after a.
 
-    Both sides get a time bucket as wide as `delta`; a row of `a` can only match
-    its own bucket and the next. The join is on key and bucket, so the rows
+    Both sides get a time bucket a little wider than `delta`; a row of `a` can only
+    match its own bucket and the next. The join is on key and bucket, so the rows
     compared are neighbours in time and a busy key is spread over its buckets.
     """
-    width = F.lit(width_micros(delta))
-    left = a.withColumn("_at", micros(a, a_time))
-    first = F.floor(F.col("_at") / width).cast("bigint")
-    left = left.withColumn("_bucket", F.explode(F.array(first, first + 1)))
-    right = b.withColumn("_bt", micros(b, b_time))
-    right = right.withColumn("_bucket", F.floor(F.col("_bt") / width).cast("bigint"))
-    gap: Column = F.col("_bt") - F.col("_at")
+    width = delta // timedelta(seconds=1) + 1
+    first = time_bucket(a, a_time, width)
+    left = a.withColumn("_bucket", F.explode(F.array(first, first + 1)))
+    right = b.withColumn("_bucket", time_bucket(b, b_time, width))
+    start, end = F.col(a_time), F.col(a_time) + F.lit(delta)
     return (left.join(right, [key, "_bucket"])
-            .filter((gap >= 0) & (gap <= width))
-            .drop("_bucket", "_at", "_bt"))
+            .filter((F.col(b_time) >= start) & (F.col(b_time) <= end)).drop("_bucket"))

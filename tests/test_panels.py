@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import at, plan, rows
 from dashloom.functions.custom import custom_measure, register_measure
-from dashloom.functions.grain import micros, truncate
+from dashloom.functions.grain import seconds, truncate
 from dashloom.functions.measures import percent
 from dashloom.operators import aggregates as A
 from dashloom.operators import series as S
@@ -115,6 +115,28 @@ def test_star_and_segments(spark):
     assert rows(orphans(fact.limit(0), dim, ("k", "id"))) == [(0, 0)]
 
 
+def test_within_of_part_seconds(spark):
+    def t(us):
+        return at(0) + dt.timedelta(microseconds=us)
+    a = spark.createDataFrame([(i, "u", t(999_900 + 50 * i)) for i in range(5)],
+                              "a long, u string, ta timestamp_ntz")
+    b = spark.createDataFrame([(i, "u", t(1_000_000 + 60 * i)) for i in range(9)],
+                              "b long, u string, tb timestamp_ntz")
+    for us in (0, 100, 1_000_000):
+        got = within(a, b, "u", "ta", "tb", dt.timedelta(microseconds=us))
+        assert rows(got.select("a", "b")) == [
+            (i, j) for i in range(5) for j in range(9)
+            if 0 <= (1_000_000 + 60 * j) - (999_900 + 50 * i) <= us]
+
+
+def test_first_last(spark):
+    df = spark.createDataFrame([("a", at(1), 1, 5.0), ("a", at(1), 2, 6.0), ("a", at(0), 3, 7.0)],
+                               "d string, t timestamp_ntz, id long, v double")
+    got = A.first_last(df, ["d"], "v", "t", "id")
+    assert rows(got) == [("a", 7.0, 6.0)]
+    assert "SortAggregate" not in plan(A.first_last(df, ["d"], "v", "t"))
+
+
 def test_within_includes_both_ends(spark):
     a = spark.createDataFrame([(1, "u", at(0)), (2, "u", at(9))], "a long, u string, ta timestamp_ntz")
     b = spark.createDataFrame([(1, "u", at(0)), (2, "u", at(10)), (3, "u", at(20)), (4, "w", at(1))],
@@ -167,13 +189,13 @@ def test_grain_does_not_depend_on_the_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        got = df.select(truncate("t", "hour"), truncate("t", "minute"), micros(df, "t")).collect()[0]
+        got = df.select(truncate("t", "hour"), truncate("t", "minute"), seconds(df, "t")).collect()[0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     utc = dt.datetime(2024, 3, 10, 2, 30, 1, 5, dt.timezone.utc)
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
     assert got[0] == dt.datetime(2024, 3, 10, 2) and got[1] == dt.datetime(2024, 3, 10, 2, 30)
-    assert got[2] == (utc - epoch) // dt.timedelta(microseconds=1)
+    assert got[2] == (utc - epoch) // dt.timedelta(seconds=1)
 
 
 def test_ties_at_the_cut(spark):
@@ -273,6 +295,20 @@ def test_custom_measure_merges_batches(spark, sales):
     assert rows(got) == [(None, 600_008.0), ("a", 150_002.0)]
 
 
+def test_custom_measure_dimensions(spark):
+    """Whole numbers too large for a float beside nulls, times, and no dimension."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, at(1), 2), (None, at(1), 3), (big, None, 4)],
+                               "k long, t timestamp_ntz, v long")
+
+    def total(dims):
+        return rows(custom_measure(df, dims, ["v"], lambda g: {"s": int(g.v.sum())},
+                                   {"s": ("bigint", F.sum)}, lambda s: s * 2, "long", "r"))
+    assert total(["k"]) == [(None, 6), (big, 12)]
+    assert total(["k", "t"]) == [(None, at(1), 6), (big, None, 8), (big, at(1), 4)]
+    assert total([]) == [(18,)]
+
+
 def test_one_scan_per_panel(spark, sf):
     from dashloom.plans.queries.aggregates import order_facets, tiles
     from dashloom.plans.queries.ranking import top_brands
