@@ -58,6 +58,7 @@ def custom_measure(
             found = []
             for key, group in groups:
                 values = partial(group)
+                key = [k if isinstance(k, str) else None for k in key]
                 found.append((*key, *[values[s] for s in state]))
             yield pd.DataFrame(found, columns=names)
 
