@@ -67,11 +67,29 @@ def live_dedup(stream: DataFrame, time: str, keys: Sequence[str], delay: str,
     return marked.dropDuplicatesWithinWatermark(list(keys))
 
 
+def _copies(df: DataFrame, salts: int) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    """Every row with a salt that depends on its content only."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+
+
 def live_enrich(stream: DataFrame, dim: DataFrame, on: tuple[str, str],
-                how: str = "inner") -> DataFrame:
-    """Add the columns of a static table."""
+                how: str = "inner", salts: int = 1) -> DataFrame:
+    """Add the columns of a static table.
+
+    Spark broadcasts a small table. For one that is too large for that, `salts`
+    spreads the rows of a busy key over as many tasks, at the price of as many
+    copies of the table in the shuffle.
+    """
     left, right = on
-    return stream.join(dim.withColumnRenamed(right, left), left, how)
+    dim = dim.withColumnRenamed(right, left)
+    if salts == 1:
+        return stream.join(dim, left, how)
+    return _salted(stream, salts).join(_copies(dim, salts), [left, "_salt"], how).drop("_salt")
 
 
 def live_within(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str,
@@ -83,11 +101,9 @@ def live_within(a: DataFrame, b: DataFrame, key: str, a_time: str, b_time: str,
     tasks; `a` should be the smaller stream.
     """
     span = F.expr(f"INTERVAL {delta}")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    spread = F.pmod(F.xxhash64(*b.columns), F.lit(salts)).cast("int")
-    left = a.withWatermark(a_time, delay).withColumn("_salt", salt)
-    right = (b.withWatermark(b_time, delay).withColumn("_salt", spread)
-             .withColumnRenamed(key, "_key_b").withColumnRenamed("_salt", "_salt_b"))
+    left = _copies(a.withWatermark(a_time, delay), salts)
+    right = (_salted(b.withWatermark(b_time, delay), salts)
+             .withColumnsRenamed({key: "_key_b", "_salt": "_salt_b"}))
     match = ((F.col(key) == F.col("_key_b")) & (F.col("_salt") == F.col("_salt_b"))
              & (F.col(b_time) >= F.col(a_time)) & (F.col(b_time) <= F.col(a_time) + span))
     return left.join(right, match).drop("_salt", "_salt_b", "_key_b")

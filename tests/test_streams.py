@@ -1,13 +1,14 @@
 """Streams and rollup tables: late rows, copies, split days, replays."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, plan, rows
 from dashloom.functions.measures import cents
-from dashloom.session import new_path, shared_dir
+from dashloom.session import clear, freeze, new_path, own_dir, shared_dir
 from dashloom.sources.rollups import (compact_rollup, daily_rollup, merge_rollup, read_rollup,
                                       write_rollup)
 from dashloom.sources.tables import event_stream
@@ -52,6 +53,11 @@ def _run(df, out, mode="append"):
 def test_shared_folder(spark, tmp_path):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_path(spark, "x") != new_path(spark, "x")
+    assert new_path(spark, "x").startswith(own_dir(spark) + "/")
+    freeze(spark.range(3), "gone")
+    assert any(name.startswith("gone") for name in os.listdir(own_dir(spark)))
+    clear(spark)
+    assert not os.path.exists(own_dir(spark)) and os.path.exists(shared_dir(spark))
 
 
 def test_late_rows_are_dropped(spark, folder, tmp_path):
@@ -108,6 +114,15 @@ def test_pairs_of_streams(spark, folder, salts):
     assert rows(got.select("a", "b")) == [(1, 2), (1, 4)]
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_enriched(spark, folder, salts):
+    folder.add(*[_event(i, at(i), 1) for i in range(9)], _event(9, at(9), 2), _event(10, at(9), 3))
+    dim = spark.createDataFrame([(1, "one"), (2, "two")], "key long, name string")
+    for how, extra in (("inner", []), ("left", [(None, 1)])):
+        got = L.drain(L.live_enrich(folder.stream(), dim, ("user_id", "key"), how, salts))
+        assert rows(got.groupBy("name").count()) == [*extra, ("one", 9), ("two", 1)]
+
+
 def test_sessions_over_files(spark, folder):
     folder.add(_event(1, at(0)), _event(2, at(20)))
     folder.add(_event(3, at(40)), _event(4, at(0, 2)))
