@@ -87,26 +87,35 @@ def top_n_other(df: DataFrame, dim: str, measures: Mapping[str, Column], by: str
     ).agg(*[combine(m).alias(m) for m in measures])
 
 
+def _after(df: DataFrame, name: str, way: str, value: Any) -> tuple[Column, Column, Column]:
+    """Whether a row comes after, at, or not before a value; nulls come last."""
+    c = F.col(name)
+    if value is None:
+        return F.lit(False), c.isNull(), c.isNull()
+    v = _literal(value, df.schema[name].dataType)
+    if way == "asc":
+        return (c > v) | c.isNull(), c == v, (c >= v) | c.isNull()
+    return (c < v) | c.isNull(), c == v, (c <= v) | c.isNull()
+
+
 def rows_after(df: DataFrame, order: Sequence[tuple[str, str]],
                cursor: Mapping[str, Any] | None, n: int) -> DataFrame:
     """The next page of rows after the cursor.
 
-    `order` is (column, "asc" | "desc") and must end in a unique column without
-    nulls. The cursor holds these columns of the last row seen. Earlier pages are
-    skipped by a filter at the scan, not by counting.
+    `order` is (column, "asc" | "desc"), nulls last, and must end in a column that
+    is unique. The cursor holds these columns of the last row seen. Earlier pages
+    are skipped by a filter at the scan, not by counting.
     """
     if cursor is not None:
         steps, equal = [], F.lit(True)
         for name, way in order:
-            value = _literal(cursor[name], df.schema[name].dataType)
-            later = F.col(name) > value if way == "asc" else F.col(name) < value
+            later, same, _ = _after(df, name, way, cursor[name])
             steps.append(equal & later)
-            equal = equal & (F.col(name) == value)
+            equal = equal & same
+        # Implied by the steps; as a plain comparison it reaches the scan.
         first, way = order[0]
-        value = _literal(cursor[first], df.schema[first].dataType)
-        # Implied by the rest; as a plain comparison it reaches the scan.
-        reach = F.col(first) >= value if way == "asc" else F.col(first) <= value
-        df = df.filter(reach).filter(reduce(lambda a, b: a | b, steps))
+        df = df.filter(_after(df, first, way, cursor[first])[2])
+        df = df.filter(reduce(lambda a, b: a | b, steps))
     keys = [F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last()
             for c, way in order]
     return df.orderBy(*keys).limit(n)

@@ -214,13 +214,17 @@ def test_other_is_not_a_value(spark):
     assert rows(top) == [(None, False, 4), ("Other", False, 5), ("Other", True, 2)]
 
 
-def test_pages_give_every_row_once(spark):
-    df = spark.createDataFrame([(i, i % 3) for i in range(20)], "id long, v long")
-    order, cursor, seen = [("v", "desc"), ("id", "asc")], None, []
+@pytest.mark.parametrize("way", ["asc", "desc"])
+def test_pages_give_every_row_once(spark, way):
+    """Ties and nulls in the first column, pages that end inside them."""
+    data = [(i, None if i % 4 == 3 else i % 4) for i in range(20)]
+    df = spark.createDataFrame(data, "id long, v long")
+    order, cursor, seen = [("v", way), ("id", "asc")], None, []
     while page := rows_after(df, order, cursor, 6).collect():
-        seen += [(r.v, r.id) for r in page]
+        seen += [(r.id, r.v) for r in page]
         cursor = page[-1].asDict()
-    assert seen == sorted(((i % 3, i) for i in range(20)), key=lambda t: (-t[0], t[1]))
+    sign = 1 if way == "asc" else -1
+    assert seen == sorted(data, key=lambda t: (t[1] is None, sign * (t[1] or 0), t[0]))
 
 
 def test_page_filter_reaches_the_scan(spark, sf):
