@@ -160,10 +160,12 @@ def first_last(df: DataFrame, dims: Sequence[str], col: str, time: str,
                tie: str | None = None) -> DataFrame:
     """First and last value by time, the tie-break deciding equal times.
 
+    Rows without a time do not count.
     Without a tie-break numbers are aggregated by hashing; with one, Spark sorts
     the rows of a task by group first.
     """
-    order = F.struct(time, tie) if tie else F.col(time)
+    at = F.col(time)
+    order = F.when(at.isNotNull(), F.struct(time, tie)) if tie else at
     return df.groupBy(*dims).agg(
         F.min_by(col, order).alias("first_value"), F.max_by(col, order).alias("last_value"))
 

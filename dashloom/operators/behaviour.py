@@ -78,7 +78,9 @@ def retention(df: DataFrame, user: str, time: str) -> DataFrame:
     """Users active n days after the day they were first seen, per first day.
 
     A user's rows are reduced to distinct days before anything is done per user.
+    Rows without a user or a time do not count.
     """
+    df = df.filter(F.col(user).isNotNull() & F.col(time).isNotNull())
     days = df.select(user, F.to_date(time).alias("day")).distinct()
     first = F.min("day").over(W.partitionBy(user))
     return (days.withColumn("cohort", first)

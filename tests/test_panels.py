@@ -1,6 +1,7 @@
 """What the given tables cannot show: nulls, gaps, ties, zeros, empty input."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import at, plan, rows
 from dashloom.functions.custom import custom_measure, register_measure
 from dashloom.functions.grain import seconds, truncate
-from dashloom.functions.measures import percent
+from dashloom.functions.measures import cents, exact_sum, mean, percent, total
 from dashloom.operators import aggregates as A
 from dashloom.operators import series as S
 from dashloom.operators.behaviour import funnel, retention, sessions
@@ -130,10 +131,12 @@ def test_within_of_part_seconds(spark):
 
 
 def test_first_last(spark):
-    df = spark.createDataFrame([("a", at(1), 1, 5.0), ("a", at(1), 2, 6.0), ("a", at(0), 3, 7.0)],
-                               "d string, t timestamp_ntz, id long, v double")
-    got = A.first_last(df, ["d"], "v", "t", "id")
-    assert rows(got) == [("a", 7.0, 6.0)]
+    df = spark.createDataFrame(
+        [("a", at(1), 1, 5.0), ("a", at(1), 2, 6.0), ("a", at(0), 3, 7.0), ("a", None, 0, 8.0)],
+        "d string, t timestamp_ntz, id long, v double")
+    for tie in ("id", None):
+        got = rows(A.first_last(df, ["d"], "v", "t", tie))
+        assert got in ([("a", 7.0, 6.0)], [("a", 7.0, 5.0)][:tie is None])
     assert "SortAggregate" not in plan(A.first_last(df, ["d"], "v", "t"))
 
 
@@ -271,12 +274,25 @@ def test_funnel_needs_the_order(spark):
 
 
 def test_retention(spark):
-    df = spark.createDataFrame([(1, at(0)), (1, at(5)), (1, at(0, 3)), (2, at(0, 2))],
-                               "u long, t timestamp_ntz")
+    df = spark.createDataFrame(
+        [(1, at(0)), (1, at(5)), (1, at(0, 3)), (2, at(0, 2)), (None, at(0)), (2, None)],
+        "u long, t timestamp_ntz")
     assert rows(retention(df, "u", "t")) == [
         (dt.date(2024, 1, 1), 0, 1), (dt.date(2024, 1, 1), 2, 1), (dt.date(2024, 1, 2), 0, 1)]
 
 
+def test_exact_sums(spark):
+    """Negative, large and very many amounts; sums beyond a bigint of cents."""
+    values = [-0.01, -5.55, 0.1, 0.2, 999_999_999_999.99, -1_048_576.0, 0.07, 1.15]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    want = sum(Decimal(str(v)) for v in values)
+    got = df.agg(exact_sum(cents("v")).alias("e"), total("v").alias("t"), mean("v").alias("m"))
+    assert rows(got) == [(want, float(want), float(want) / len(values))]
+    assert rows(df.filter("v is null").agg(total("v"), mean("v"))) == [(None, None)]
+    huge = spark.range(40_000).select(F.lit(9_000_000_000_000_00).alias("u"))
+    assert huge.agg(exact_sum(F.col("u"))).first()[0] == Decimal(9_000_000_000_000) * 40_000
+
+
 def test_percent_of_zero(spark):
     df = spark.createDataFrame([(1, 0), (1, 4)], "a long, b long")
     assert rows(df.select(percent(F.col("a"), F.col("b")))) == [(None,), (25.0,)]
