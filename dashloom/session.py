@@ -46,6 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _locate(spark: SparkSession, path: str):
+    """File system and path object of a path, local or shared."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(sc._jsc.hadoopConfiguration()), found
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, found = _locate(spark, path)
+    return fs.exists(found) and fs.getFileStatus(found).isDirectory()
+
+
 def own_dir(spark: SparkSession) -> str:
     """The folder in the shared folder that belongs to this application."""
     return f"{shared_dir(spark).rstrip('/')}/dashloom-{spark.sparkContext.applicationId}"
@@ -58,9 +70,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete the application's folder, once none of its results is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, found = _locate(spark, own_dir(spark))
+    fs.delete(found, True)
 
 
 def freeze(df: DataFrame, name: str = "table") -> DataFrame:

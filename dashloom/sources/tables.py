@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import is_folder
+
 # Given, so that building a panel starts no job that looks them up.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -48,11 +50,16 @@ def event_stream(
 ) -> DataFrame:
     """Stream of events from parquet files in a folder.
 
-    Where the table is a folder of part files, pass that folder and
-    `files="*.parquet"`. Watermarks need a time with a zone, so `time` becomes
-    `timestamp`; the live panels turn it back into `timestamp_ntz`.
+    `files` may be one file, a folder of part files, or a pattern such as
+    `*.parquet`. Watermarks need a time with a zone, so `time` becomes `timestamp`;
+    the live panels turn it back into `timestamp_ntz`.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    # A stream starts from a folder, so one file is a folder with a filter.
+    if "*" not in files and is_folder(spark, f"{sf_dir}/{files}"):
+        sf_dir = f"{sf_dir}/{files}"
+    else:
+        reader = reader.option("pathGlobFilter", files)
     return reader.parquet(sf_dir).withColumn(time, F.col(time).cast("timestamp"))

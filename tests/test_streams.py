@@ -77,6 +77,15 @@ def test_late_rows_are_dropped(spark, folder, tmp_path):
     assert rows(got.select("window_start", "n")) == [(at(0), 2)]
 
 
+def test_table_of_part_files(spark, sf, tmp_path):
+    """A table written by Spark is a folder; another table lies beside it."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    events.limit(5).write.parquet(f"{tmp_path}/orders.parquet")
+    for path in (sf, str(tmp_path)):
+        assert L.drain(event_stream(spark, path)).count() == events.count()
+
+
 @pytest.mark.parametrize("mode", ["append", "complete"])
 def test_empty_stream(folder, mode):
     series = L.live_series(folder.stream(), "ts", "1 hour", "1 hour", {"n": F.count(F.lit(1))})
