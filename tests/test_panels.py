@@ -357,3 +357,9 @@ def test_top_panel_needs_one_dimension(spark, sf):
                   {"dims": ("o_custkey",), "grain": ("o_orderdate", "month")}):
         with pytest.raises(ValueError):
             run_panel(spark, sf, Panel("orders", {"n": F.count(F.lit(1))}, top=("n", 2), **wrong))
+
+
+def test_public_names():
+    import dashloom
+    assert len(set(dashloom.__all__)) == len(dashloom.__all__)
+    assert all(callable(getattr(dashloom, name)) for name in dashloom.__all__)
