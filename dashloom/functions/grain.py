@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,23 @@ STEPS = {
     "quarter": "INTERVAL 3 MONTH",
     "year": "INTERVAL 1 YEAR",
 }
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+_SECONDS = {"minute": 60, "hour": 3600, "day": 86_400, "week": 7 * 86_400}
+
+
+def calendar(spark: SparkSession, grain: str, lo: datetime, hi: datetime) -> DataFrame:
+    """Every grain start from lo to hi, in column `t`, made in parallel."""
+    start, end = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
+    zero = F.lit(0)
+    if grain in _MONTHS:
+        months = (hi.year - lo.year) * 12 + hi.month - lo.month
+        n, step = months // _MONTHS[grain] + 1, F.col("id") * _MONTHS[grain]
+        t = start + F.make_ym_interval(zero, step.cast("int"))
+    else:
+        n = (hi - lo) // timedelta(seconds=_SECONDS[grain]) + 1
+        step = (F.col("id") * _SECONDS[grain]).cast("decimal(18,6)")
+        t = start + F.make_dt_interval(zero, zero, zero, step)
+    return spark.range(max(n, 0)).select(t.alias("t")).filter(F.col("t") <= end)
 
 
 def truncate(time: str | Column, grain: str) -> Column:

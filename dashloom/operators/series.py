@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grain import STEPS, truncate
+from ..functions.grain import STEPS, calendar, truncate
 from .ordered import in_order, running_sums
 from .skew import DEFAULT, HotRule
 
@@ -34,12 +34,14 @@ def fill_gaps(points: DataFrame, grain: str, lo: date | datetime, hi: date | dat
     Expects one row per grain and dimension value. Each row also stands for the
     missing grains up to the next one, so nothing has to be joined.
     """
-    lo, hi = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
-    step, at = F.expr(STEPS[grain]), F.col("t")
+    lo, hi = [x if isinstance(x, datetime) else datetime(x.year, x.month, x.day)
+              for x in (lo, hi)]
     values = [c for c in points.columns if c not in ("t", *dims)]
     if not dims:
-        spine = points.sparkSession.range(1).select(F.explode(F.sequence(lo, hi, step)).alias("t"))
-        return spine.join(points, "t", "left").fillna(default, values)
+        every = calendar(points.sparkSession, grain, lo, hi)
+        return every.join(points, "t", "left").fillna(default, values)
+    lo, hi = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
+    step, at = F.expr(STEPS[grain]), F.col("t")
     w = W.partitionBy(*dims).orderBy("t")
     first = F.when(F.row_number().over(w) == 1, lo).otherwise(F.greatest(at, lo))
     last = F.least(F.lead("t").over(w) - step, hi)  # of null and hi it is hi

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import at, plan, rows
 from dashloom.functions.custom import custom_measure, register_measure
-from dashloom.functions.grain import seconds, truncate
+from dashloom.functions.grain import calendar, seconds, truncate
 from dashloom.functions.measures import cents, exact_sum, mean, percent, total
 from dashloom.operators import aggregates as A
 from dashloom.operators import series as S
@@ -162,6 +162,23 @@ def test_gaps_and_previous(spark):
     assert S.fill_gaps(by, "month", dt.date(2024, 1, 1), dt.date(2024, 4, 1), ["d"]).count() == 4
 
 
+def test_calendar(spark):
+    def days(grain, lo, hi):
+        return [r[0] for r in rows(calendar(spark, grain, lo, hi))]
+    jan = dt.datetime(2024, 1, 1)
+    assert days("minute", jan, at(3)) == [at(0), at(1), at(2), at(3)]
+    assert len(days("hour", jan, dt.datetime(2024, 12, 31, 23))) == 366 * 24
+    assert days("week", jan, at(0, 16)) == [at(0, 1), at(0, 8), at(0, 15)]
+    assert days("month", jan, dt.datetime(2025, 2, 1))[-2:] == [
+        dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)]
+    assert days("quarter", jan, dt.datetime(2024, 11, 1)) == [
+        dt.datetime(2024, m, 1) for m in (1, 4, 7, 10)]
+    assert days("year", jan, dt.datetime(2025, 12, 31)) == [jan, dt.datetime(2025, 1, 1)]
+    assert days("month", dt.datetime(2024, 1, 15), dt.datetime(2024, 2, 10)) == [
+        dt.datetime(2024, 1, 15)]
+    assert days("day", at(0, 2), jan) == [] and days("month", dt.datetime(2024, 3, 1), jan) == []
+
+
 def test_gaps_per_dimension(spark):
     """Values inside, around and outside the range, and a value that is null."""
     day = [dt.datetime(2024, 1, d) for d in range(1, 11)]
