@@ -87,14 +87,15 @@ def _lines(text):
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
-                      batches: int = 4) -> DataFrame:
+                      copies_once: bool = False, batches: int = 4) -> DataFrame:
     """Documents without the lines that at least `min_docs` documents share.
 
     `docs` needs (doc_id, text) and may have any other columns, which stay. A line's key is the
     line without ASCII white space at both ends, A-Z as a-z; keys of fewer than `min_chars`
     code points are never dropped. With `keep_first` each such line stays in one document, the
-    first of the earliest batch by a hash of the document, else it goes everywhere. A null or empty text is one empty
-    line. Repeated rows (doc_id and text) are one document, and all of them stay. Adds kept
+    first of the earliest batch by a hash of the document, else it goes everywhere. With
+    `copies_once` all documents of one text count once and are treated alike. A null or empty
+    text is one empty line. Repeated rows (doc_id and text) are one document, and all of them stay. Adds kept
     (the text that is left), n_lines and n_dropped; a column of `docs` with such a name is replaced.
 
     Lines are cut once and written as hashes with their position. Batches go through `LineRuns`
@@ -109,16 +110,18 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
         lambda x, i: F.struct(i.alias("at"), F.xxhash64(clean(x)).alias("h1"), F.xxhash64(F.lit(1), clean(x)).alias("h2"),
                               (F.char_length(clean(x)) >= min_chars).alias("long")),
     )
-    cut = docs.select(key.alias("key"), F.explode(hashed).alias("l")).where("l.long").select("key", "l.at", "l.h1", "l.h2")
-    cut = freeze(cut.withColumn("batch", F.pmod("key", F.lit(batches))), "lines")
+    owner = F.xxhash64("text") if copies_once else key
+    cut = docs.select(key.alias("key"), owner.alias("owner"), F.explode(hashed).alias("l")).where("l.long")
+    cut = cut.select("key", "owner", "l.at", "l.h1", "l.h2", F.pmod("owner", F.lit(batches)).alias("batch"))
+    cut = freeze(cut, "lines")
     runs = LineRuns(spark, min_docs)
     for b in range(batches):
-        runs.add(cut.where(F.col("batch") == b))
-    frequent = freeze(runs.frequent().select("h1", "h2", F.col("first.key").alias("first_key")), "frequent")
+        runs.add(cut.where(F.col("batch") == b).select("h1", "h2", F.col("owner").alias("key")))
+    frequent = freeze(runs.frequent().select("h1", "h2", F.col("first.key").alias("first_owner")), "frequent")
     runs.close()
     gone = cut.join(frequent, ["h1", "h2"])
     if keep_first:
-        gone = gone.where("key != first_key")
+        gone = gone.where("owner != first_owner")
     gone = gone.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
     # Positions become flags: for each dropped line, a 0 for every line kept before it, then a 1.
