@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, shingles
+from .words import chunks, shingles, small
 
 HASHES = 64
 BLOCK = 8  # positions; the smallest size class, and the step of the windows
@@ -87,7 +87,7 @@ class ItemIndex:
 def _search(index, width: int, percent: int) -> Callable:
     def run(batches):
         items: ItemIndex = index.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [t and t.lower() for t in batch.column("text").to_pylist()]
             rows, ids, share, n = [], [], [], []
             for first, raws in chunks(texts):

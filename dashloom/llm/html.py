@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .fit import Tree
+from .words import small
 
 # Element names of HTML.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp"}
@@ -208,7 +209,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         model = tree()
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(p, model) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),

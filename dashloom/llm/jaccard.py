@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import freeze
 from .components import components
-from .words import mix, shingle_sets
+from .words import mix, shingle_sets, small
 
 #: Counters of the n-gram frequencies. Their number is fixed, so they may be sent to all tasks;
 #: they only order n-grams, and any order gives the same pairs.
-COUNTERS = 1 << 18
-PARTS = 16
+COUNTERS = 1 << 20
+PARTS = 256
+MARKS = 1 << 22  # bits that tell tasks which rows are worth sending to a join; a fixed number
 
 
 def _ints(x: np.ndarray) -> pa.Array:
@@ -29,7 +30,7 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], width: int):
-    for batch in batches:
+    for batch in small(batches):
         yield batch, shingle_sets(batch.column("text").to_pylist(), width)
 
 
@@ -40,10 +41,11 @@ def _describe(width: int) -> Callable:
             for _, s in sets:
                 sizes.append(len(s))
                 nodes.append(_digest(s) if len(s) else 0)
-                parts.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS).tolist())
+                sizes_of = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS)
+                parts.append(np.minimum(sizes_of, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()),
-                 _ints(np.array(nodes, np.uint64)), pa.array(parts, pa.list_(pa.int32()))],
+                 _ints(np.array(nodes, np.uint64)), pa.array(parts, pa.binary())],
                 names=["doc_id", "row_key", "n", "node", "parts"],
             )
     return run
@@ -87,15 +89,38 @@ def _prefixes(width: int, percent: int, counts) -> Callable:
     return run
 
 
+def _alike(percent: int) -> Callable:
+    """Suffix filter: sets are cut at fixed borders; parts of different sizes bound the overlap."""
+
+    def run(batches):
+        for batch in small(batches, 2000):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("parts_a", "parts_b"))
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = (both - np.abs(a - b).sum(axis=1)) // 2
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(most * (100 + percent) >= percent * both))
+    return run
+
+
+def _marked(marks) -> Callable:
+    """Rows whose key has its bit set: all that are needed, and few others."""
+
+    def run(batches):
+        bits = marks.value
+        for batch in batches:
+            at = batch.column("row_key").to_numpy().view(np.uint64) % np.uint64(MARKS)
+            yield batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+    return run
+
+
 def _sets(width: int) -> Callable:
     def run(batches):
         for _, sets in _texts(batches, width):
-            for _, s in sets:
-                if len(s):
-                    yield pa.RecordBatch.from_arrays(
-                        [_ints(np.array([_digest(s)], np.uint64)), pa.array([s.view(np.int64)], pa.list_(pa.int64()))],
-                        names=["node", "grams"],
-                    )
+            own = [(_digest(s), s.view(np.int64)) for _, s in sets if len(s)]
+            for at in range(0, len(own), 500):
+                nodes, grams = zip(*own[at : at + 500], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [_ints(np.array(nodes, np.uint64)), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"]
+                )
     return run
 
 
@@ -122,21 +147,31 @@ class _Verifier:
     def __init__(self, keyed: DataFrame, members: DataFrame, width: int, percent: int):
         self.keyed, self.members, self.width, self.percent = keyed, members, width, percent
 
+    def _texts_of(self, nodes: DataFrame) -> DataFrame:
+        """One text for each node. Marks keep rows that are not needed out of the shuffle."""
+        rows = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+        rows = freeze(rows.select("row_key").distinct(), "rows")
+        at = F.pmod("row_key", F.lit(MARKS))
+        # row_key is signed, MARKS a power of two: the remainder is that of its unsigned bits.
+        words = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(row_key, {MARKS}) % 64 as int))")).alias("bits"))
+        bits = np.zeros(MARKS // 64, np.uint64)
+        found = words.toArrow()  # MARKS / 64 rows at most
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        sent = self.keyed.sparkSession.sparkContext.broadcast(bits)
+        texts = self.keyed.select("row_key", "text").mapInArrow(_marked(sent), "row_key long, text string")
+        return texts.join(rows, "row_key", "left_semi").select("text")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         p, sig = self.percent, self.members.select("node", "n", "parts").dropDuplicates(["node"])
         side = lambda c: sig.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
-        # Suffix filter: parts of the sets at fixed borders; sizes that differ bound the overlap.
-        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        left = (F.col("n_a") + F.col("n_b") - apart) * (100 + p)
         pairs = freeze(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(left >= 2 * p * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "pairs",
+            pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "parts_a", "parts_b")
+            .mapInArrow(_alike(p), "a long, b long, n_a long, n_b long"), "pairs",
         )
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        rows = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-        texts = self.keyed.join(rows.select("row_key").distinct(), "row_key", "left_semi").select("text")
         sets = freeze(
-            texts.mapInArrow(_sets(self.width), "node long, grams array<long>").dropDuplicates(["node"]), "sets"
+            self._texts_of(nodes).mapInArrow(_sets(self.width), "node long, grams array<long>").dropDuplicates(["node"]), "sets"
         )
         side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}"))
         same = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -146,48 +181,36 @@ class _Verifier:
         )
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of documents linked by shared word n-grams, one row per document.
-
-    `docs` needs (doc_id, text); other columns are ignored. Words are runs without ASCII white
-    space, A-Z as a-z; a set holds the distinct runs of `width` words, or the whole sequence of
-    a shorter text. Documents link when 100 * common >= `percent` * united n-grams.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself
-    included) and n_copies (documents with the same set). Null or empty texts and texts of
-    white space have no n-grams, link with nothing and are their own component. A null doc_id
-    keeps its row; it takes part in links but never names a component unless all are null.
-    Repeated rows are copies of each other. An empty table gives an empty table.
-
-    Equal sets are one node from the first step on. N-grams are ordered by how often they occur
-    in the whole table (rarest first); only a set's prefix is shuffled. Length and positional
-    filters drop pairs inside the join, part sizes drop more, and what remains is verified once.
-    Pairs are tried in two steps: each node with one pivot of every prefix n-gram it has, then,
-    for n-grams whose nodes are not yet in one component, all pairs between components. The
-    second step completes the join, and dense groups need few pairs in it.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each row's doc_id, row_key and n, with the label, smallest id and copies of its group."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, n long, node long, parts array<int>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, n long, node long, parts binary"
     members = freeze(keyed.mapInArrow(_describe(width), schema), "members")
     texts = keyed.select("text")
     counted = texts.mapInArrow(_counters(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = np.zeros(COUNTERS, np.int64)
-    for row in counted.collect():  # COUNTERS rows at most
-        counts[row["counter"]] = row["n"]
+    found = counted.toArrow()  # COUNTERS rows at most
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-    postings = texts.mapInArrow(_prefixes(width, percent, sent), "gram long, node long, n int, at int").repartition("gram")
-    shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
-    kept = freeze(postings.join(shared.select("gram"), "gram", "left_semi").dropDuplicates(["gram", "node"]), "postings")
+    postings = texts.mapInArrow(_prefixes(width, percent, sent), "gram long, node long, n int, at int")
+    # The set in which an n-gram comes first has the fewest rarer ones: in a group of near
+    # copies it is the most central, and most others link to it directly.
+    own = Window.partitionBy("gram")
+    postings = postings.withColumns({"pivot": F.min(F.struct("at", "node", "n")).over(own), "last": F.max("node").over(own),
+                                     "least": F.min("node").over(own)})
+    kept = freeze(
+        postings.where("least != last").dropDuplicates(["gram", "node"]).select(
+            "gram", "node", "n", "at", F.col("pivot.node").alias("node2"), F.col("pivot.n").alias("n2"), F.col("pivot.at").alias("at2")
+        ), "postings",
+    )
     verifier = _Verifier(keyed, members, width, percent)
 
-    pivot = kept.groupBy("gram").agg(F.min(F.struct("n", "node", "at")).alias("p"))
-    pivot = pivot.select("gram", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2"))
-    tried = freeze(_pairs(kept.join(pivot, "gram").where("node != node2"), percent), "pairs")
+    tried = freeze(_pairs(kept.where("node != node2"), percent), "pairs")
     links = verifier.links(tried)
     labels = components(links)
 
-    named = kept.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = kept.drop("node2", "n2", "at2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = freeze(named, "postings")
     mixed = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     named = named.join(mixed.select("gram"), "gram", "left_semi")
@@ -200,10 +223,46 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = freeze(classes, "classes")
     least = classes.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    classes = classes.join(least, "label").select("node", F.col("least_id"), "n_copies")
-    return members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(
-        classes, "node", "left"
-    ).select(
+    classes = classes.join(least, "label").select("node", "label", "least_id", "n_copies")
+    named = members.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return named.join(classes, "node", "left")
+
+
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of documents linked by shared word n-grams, one row per document.
+
+    `docs` needs (doc_id, text); other columns are ignored. Words are runs without ASCII white
+    space, A-Z as a-z; a set holds the distinct runs of `width` words, or the whole sequence of
+    a shorter text. Documents link when 100 * common >= `percent` * united n-grams.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself
+    included) and n_copies (documents with the same set). Null or empty texts and texts of
+    white space have no n-grams, link with nothing and are their own component. A null doc_id
+    keeps its row; it takes part in links but never names a component unless all are null.
+    Repeated rows are copies of each other. An empty table gives an empty table.
+
+    Equal sets are one node from the first step on. N-grams are ordered by how often they occur
+    in the whole table (rarest first); only a set's prefix is shuffled. Length and positional
+    filters drop pairs inside the join, part sizes drop more, and what remains is verified once.
+    Pairs are tried in two steps: each node with one pivot of every prefix n-gram it has, then,
+    for n-grams whose nodes are not yet in one component, all pairs between components. The
+    second step completes the join, and dense groups need few pairs in it.
+    """
+    return _grouped(docs, width, percent).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of `ngram_join`, with all columns of `docs`.
+
+    The one with the smallest doc_id stays, one row of it if the row is repeated. Documents
+    without words are in no group and all stay.
+    """
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("first")
+    kept = _grouped(docs, width, percent).where("n > 0").groupBy("label").agg(first).select(F.col("first.row_key").alias("__key"))
+    # Repeated rows are dropped before the join, so that none of them meet in a task.
+    rows = docs.where(wordy).withColumn("__key", F.xxhash64("doc_id", "text")).dropDuplicates(["__key"])
+    return rows.join(kept, "__key", "left_semi").drop("__key").select(*docs.columns).union(docs.where(~wordy))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 from .tokens import encoder
+from .words import small
 
 END = 1  # the id that ends every document
 GROUP = 4096  # pieces packed together; each group leaves at most one window partly filled by lack of pieces
@@ -24,7 +25,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFra
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows, starts, ids, totals = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 raw = enc.ids(text) + end

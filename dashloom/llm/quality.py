@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fit import Logistic
-from .words import chunks, word_hashes
+from .words import chunks, small, word_hashes
 
 LABELLED = 10_000  # labelled documents used at most: those with the smallest hash of their id
 UNLABELLED = 10_000  # further documents for pseudo-labels at most, chosen the same way
@@ -130,7 +130,7 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _measure(batches):
-    for batch in batches:
+    for batch in small(batches):
         text, meta = _views(batch)
         yield pa.RecordBatch.from_arrays(
             [batch.column("quality"), batch.column("order"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
@@ -182,7 +182,7 @@ def _scorer(docs: DataFrame, model: Model, keep_from: float, carried: list[str])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             s = sent.value.scores(*_views(batch)).reshape(batch.num_rows, 3)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(s[:, 2]), pa.array(s[:, 2] >= keep_from)],
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, model: Model, keep_from: float = 0.5) -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             s = sent.value.scores(*_views(batch)).reshape(batch.num_rows, 3)
             yield batch.filter(pa.array(s[:, 2] >= keep_from))
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..session import freeze, is_folder, new_path
 from .tokens import encoder
+from .words import small
 
 
 def _count(path: str):
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             n = [enc.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
     return run

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fit import Logistic
+from .words import small
 
 SAMPLE = 16_000  # labelled documents used at most: those with the smallest hash of their id
 GRAM = 5  # characters; toxic windows are words with a run that toxic documents have far more often
@@ -111,7 +112,7 @@ class Model:
 def _count_grams(batches):
     toxic, ordinary = Counter(), Counter()
     n = [0, 0]
-    for batch in batches:
+    for batch in small(batches):
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             (toxic if label else ordinary).update(_grams(text or ""))
             n[label] += 1
@@ -126,7 +127,7 @@ def _count_grams(batches):
 
 def _windows(hot: set[str]):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             kinds, windows = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = (text or "").lower().split()
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         def measure(batches):
             d = model.distance()
-            for batch in batches:
+            for batch in small(batches):
                 x = [d.features(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             s = sent.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = b" \t\n\x0b\x0c\r"
-CHUNK = 1 << 20  # bytes of text hashed at once; longer texts are a chunk of their own
+CHUNK = 1 << 18  # bytes of text hashed at once; longer texts are a chunk of their own
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -53,6 +54,13 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts are held as Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8 in runs of about `CHUNK` bytes, each with its first index."""
     run: list[bytes] = []
