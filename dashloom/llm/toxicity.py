@@ -20,7 +20,7 @@ GRAM = 5  # characters; toxic windows are words with a run that toxic documents
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 32768
 WINDOWS = 100_000  # windows that train a dictionary, at most
 TOP = 4  # distances of a document that are looked at
-_WORDS = 1 << 20  # windows remembered in one Python worker
+_WORDS = 1 << 19  # windows remembered in one Python worker
 
 # Both dictionaries end with this text and every window starts with it, so that a window is
 # never stored raw; the end keeps the last word within reach of the match finder.
