@@ -71,9 +71,9 @@ def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float
     the order of the values. No task holds the values of a group in memory, and
     groups with very many values are spread over chunks.
     """
-    counted = (df.filter(F.col(col).isNotNull())
-               .groupBy(*dims, F.col(col).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
+    # Nulls count 0: they take no place in the order, but keep a group that has nothing else.
+    counted = (df.groupBy(*dims, F.col(col).cast("double").alias("_v"))
+               .agg(F.count(F.col(col)).alias("_n")))
     # Written once, as looking for hot groups and the ordering both read it.
     ordered = in_order(freeze(counted, "counted"), dims, [F.col("_v")], rule, parts)
     ranked = running_sums(ordered, {"_upto": F.col("_n")})

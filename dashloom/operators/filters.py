@@ -68,6 +68,6 @@ def derive(df: DataFrame, **exprs: Column) -> DataFrame:
 
 def json_dim(df: DataFrame, col: str, path: str, kind: str = "string",
              name: str | None = None) -> DataFrame:
-    """A property of a JSON column as a dimension; null where it is missing."""
+    """A property of a JSON column as a dimension; null where it is missing or of another kind."""
     name = name or path.rsplit(".", 1)[-1]
-    return df.withColumn(name, F.get_json_object(col, path).cast(kind))
+    return df.withColumn(name, F.get_json_object(col, path).try_cast(kind))

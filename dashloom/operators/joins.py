@@ -51,12 +51,12 @@ def not_in_segment(df: DataFrame, seg: DataFrame, key: Key) -> DataFrame:
 
 
 def orphans(fact: DataFrame, dim: DataFrame, key: Key) -> DataFrame:
-    """How many fact rows and distinct keys have no dimension row.
+    """How many fact rows and distinct keys have no dimension row; a null key is no key.
 
     The fact is counted per key before the join, so a hot key is one row there.
     """
     (left, right), = _pairs(key)
-    per_key = fact.groupBy(left).agg(F.count(F.lit(1)).alias("_rows"))
+    per_key = fact.where(F.col(left).isNotNull()).groupBy(left).agg(F.count(F.lit(1)).alias("_rows"))
     lost = per_key.join(dim.select(F.col(right).alias(left)), left, "left_anti")
     return lost.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphan_rows"),
                     F.count(F.lit(1)).alias("orphan_keys"))

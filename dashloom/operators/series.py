@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grain import STEPS, calendar, truncate
+from ..functions.grain import STEPS, truncate
 from .ordered import in_order, running_sums
 from .skew import DEFAULT, HotRule
 
@@ -31,16 +31,19 @@ def fill_gaps(points: DataFrame, grain: str, lo: date | datetime, hi: date | dat
               dims: Sequence[str] = (), default: float = 0) -> DataFrame:
     """One row for every grain from lo to hi (both included), per dimension value.
 
+    lo and hi may lie anywhere in their grain. Only rows that had no point get `default`;
+    a measure that is null stays null.
     Expects one row per grain and dimension value. Each row also stands for the
     missing grains up to the next one, so nothing has to be joined.
     """
     lo, hi = [x if isinstance(x, datetime) else datetime(x.year, x.month, x.day)
               for x in (lo, hi)]
     values = [c for c in points.columns if c not in ("t", *dims)]
+    lo, hi = [truncate(F.lit(x.isoformat()).cast("timestamp_ntz"), grain) for x in (lo, hi)]
     if not dims:
-        every = calendar(points.sparkSession, grain, lo, hi)
-        return every.join(points, "t", "left").fillna(default, values)
-    lo, hi = [F.lit(x.isoformat()).cast("timestamp_ntz") for x in (lo, hi)]
+        every = points.sparkSession.range(1).select(F.explode(F.sequence(lo, hi, F.expr(STEPS[grain]))).alias("t"))
+        found = every.join(points.withColumn("_had", F.lit(True)), "t", "left")
+        return found.select("t", *[F.when(F.col("_had"), F.col(v)).otherwise(F.lit(default)).alias(v) for v in values])
     step, at = F.expr(STEPS[grain]), F.col("t")
     w = W.partitionBy(*dims).orderBy("t")
     first = F.when(F.row_number().over(w) == 1, lo).otherwise(F.greatest(at, lo))
@@ -48,8 +51,8 @@ def fill_gaps(points: DataFrame, grain: str, lo: date | datetime, hi: date | dat
     spans = points.withColumns({"_first": first, "_last": last})
     grains = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last", step))
     every = spans.select("*", F.explode(grains).alias("_t"))
-    kept = [F.when(F.col("_t") == at, F.col(v)).alias(v) for v in values]
-    return every.select(F.col("_t").alias("t"), *dims, *kept).fillna(default, values)
+    kept = [F.when(F.col("_t") == at, F.col(v)).otherwise(F.lit(default)).alias(v) for v in values]
+    return every.select(F.col("_t").alias("t"), *dims, *kept)
 
 
 def _ordered(dims: Sequence[str]) -> WindowSpec:
@@ -88,22 +91,25 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
     One row per key and moment; a row exactly `back` earlier still counts. Each
     moment enters the running sum with its values and leaves it, as a negative
     entry, once it is older than `back`; the running sum is then the total. Values
-    should be integers, such as cents, or decimals, for which that is exact.
+    should be integers, such as cents, or decimals, for which that is exact. A span
+    that holds nulls only has no total: as many entries as leavings are known.
     """
+    known = {n: f"_known_{n}" for n in values}
     span = F.lit(back)
     moments = df.groupBy(*by, F.col(time).alias("t")).agg(
         *[F.sum(c).alias(n) for n, c in values.items()])
     # At the same moment entries come before leavings.
+    moments = moments.withColumns({k: F.col(n).isNotNull().cast("bigint") for n, k in known.items()})
     enter = moments.withColumn("_leaving", F.lit(0))
     leave = moments.select(
         *by, (F.col("t") + span).alias("t"),
-        *[(-F.col(n)).alias(n) for n in values], F.lit(1).alias("_leaving"))
+        *[(-F.col(n)).alias(n) for n in (*values, *known.values())], F.lit(1).alias("_leaving"))
     order = [F.col("t"), F.col("_leaving")]
     # Each of the two sides has at most one row per row of `df`.
     ordered = in_order(enter.unionByName(leave), by, order, rule, parts, count=df)
-    sums = running_sums(ordered, {f"_{n}": F.col(n) for n in values})
+    sums = running_sums(ordered, {f"_{n}": F.col(n) for n in (*values, *known.values())})
     return sums.filter(F.col("_leaving") == 0).select(
-        *by, "t", *[F.col(f"_{n}").alias(n) for n in values])
+        *by, "t", *[F.when(F.col(f"_{k}") > 0, F.col(f"_{n}")).alias(n) for n, k in known.items()])
 
 
 def zscore(points: DataFrame, measure: str, n: int, dims: Sequence[str] = ()) -> DataFrame:

@@ -56,7 +56,10 @@ def run_panel(spark: SparkSession, sf_dir: str, panel: Panel) -> DataFrame:
         raise ValueError("top needs exactly one dimension and no grain")
     df = read_rollup(spark, panel.rollup) if panel.rollup else table(spark, sf_dir, panel.source)
     df = star(df, *[(table(spark, sf_dir, j.table), (j.left, j.right)) for j in panel.joins])
-    df = derive(apply_filters(df, panel.filters), **panel.derived)
+    # Filters on columns that are there come first, so that they reach the scan.
+    there = [f for f in panel.filters if f.column not in panel.derived]
+    df = derive(apply_filters(df, there), **panel.derived)
+    df = apply_filters(df, [f for f in panel.filters if f.column in panel.derived])
     if panel.top:
         df = top_n_other(df, panel.dims[0], panel.measures, *panel.top)
     else:
@@ -65,4 +68,4 @@ def run_panel(spark: SparkSession, sf_dir: str, panel: Panel) -> DataFrame:
     if panel.order:
         df = df.orderBy(*[F.col(c[1:]).desc_nulls_last() if c.startswith("-")
                           else F.col(c).asc_nulls_last() for c in panel.order])
-    return df.limit(panel.limit) if panel.limit else df
+    return df if panel.limit is None else df.limit(panel.limit)

@@ -175,7 +175,7 @@ def order_facets(spark, sf_dir):
     return A.facets(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-_PROFILED = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+_PROFILED = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 @query("profile", " union all ".join(f"""

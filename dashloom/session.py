@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,13 @@ def builder(app: str = "dashloom", **conf: str) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
-    if base:
-        return base
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="dashloom-"))
-    return sc.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, or the one set on the context, or the warehouse.
+
+    All three are folders that a cluster's executors share; what is used does not depend on
+    the master.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return base or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def _locate(spark: SparkSession, path: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,16 +14,21 @@ from ..sources.rollups import BATCH, write_rollup
 
 def stream_rollup(stream: DataFrame, path: str, checkpoint: str,
                   build: Callable[[DataFrame], DataFrame],
-                  trigger: dict | None = None) -> StreamingQuery:
-    """Write the rollup of every batch as a part of its own, named by batch and day.
+                  trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
+    """Write the rollup of every batch as a part of its own, named by stream, batch and day.
 
     Sums and sketches merge when read (`merge_rollup`), so a day that arrives over
     several batches needs no read of what is there. A batch that is run again
-    after a failure replaces its own parts, so nothing is counted twice.
+    after a failure replaces its own parts, so nothing is counted twice. Batch numbers
+    start again with a new checkpoint, so the stream's name is part of the part's: by default
+    a digest of the checkpoint's path. Give the old name to replay a stream from its first file
+    under a new checkpoint; give another to add new files.
     `compact_rollup` turns the parts into one table.
     """
+    name = name or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_rollup(build(batch).withColumn(BATCH, F.lit(batch_id)), path, parts=[BATCH])
+        write_rollup(build(batch).withColumn(BATCH, F.lit(f"{name}-{batch_id}")), path, parts=[BATCH])
 
     return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)

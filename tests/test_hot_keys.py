@@ -73,7 +73,8 @@ def test_percentiles(spark, rule):
     for d, v in data:
         if v is not None:
             groups[d].append(v)
-    assert set(got) == set(groups)
+    assert set(got) == {*groups, "gone"}
+    assert got["gone"] == (None,) * len(ps)
     for d, vs in groups.items():
         vs.sort()
         for p, found in zip(ps, got[d]):

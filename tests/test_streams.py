@@ -156,11 +156,11 @@ def test_split_day_and_replay(spark, folder, tmp_path):
     folder.add(_event(1, at(0), 1), _event(2, at(5), 2), _event(3, at(0, 2), 1))
     folder.add(_event(4, at(9), 2), _event(5, at(10), 3))
     table = str(tmp_path / "rollup")
-    stream_rollup(folder.stream(), table, str(tmp_path / "c1"), _rollup).awaitTermination()
+    stream_rollup(folder.stream(), table, str(tmp_path / "c1"), _rollup, name="events").awaitTermination()
     want = _merged(_rollup(spark.read.schema(SCHEMA).parquet(folder.path)))
     assert _merged(spark.read.parquet(table)) == want
     assert spark.read.parquet(table).select("batch_id").distinct().count() == 2
-    stream_rollup(folder.stream(), table, str(tmp_path / "c2"), _rollup).awaitTermination()
+    stream_rollup(folder.stream(), table, str(tmp_path / "c2"), _rollup, name="events").awaitTermination()
     assert _merged(spark.read.parquet(table)) == want
     compact_rollup(spark, table, str(tmp_path / "compact"), ["event_type"], ["value"])
     compact = spark.read.parquet(str(tmp_path / "compact"))
