@@ -158,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = rows.orderBy("order").limit(2 * (LABELLED + UNLABELLED)).collect()
     own, pool = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
 
+    widths = {"x_text": text_features([None]).shape[1], "x_meta": meta_features([None], [None], [None]).shape[1]}
+
     def views(part):
-        return tuple(np.array([r[c] for r in part], float).reshape(len(part), -1) for c in ("x_text", "x_meta"))
+        return tuple(np.array([r[c] for r in part], float).reshape(len(part), w) for c, w in widths.items())
 
     return cotrain(views(own), np.array([r["quality"] for r in own], float), views(pool))
 
