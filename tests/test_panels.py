@@ -112,7 +112,7 @@ def test_star_and_segments(spark):
         (9, 7, None)]
     assert rows(in_segment(fact, dim, ("k", "id"))) == [(1, 10), (1, 20), (2, 5)]
     assert rows(not_in_segment(fact, dim, ("k", "id"))) == [(None, 1), (9, 7)]
-    assert rows(orphans(fact, dim, ("k", "id"))) == [(2, 2)]
+    assert rows(orphans(fact, dim, ("k", "id"))) == [(1, 1)]  # the null key is none
     assert rows(orphans(fact.limit(0), dim, ("k", "id"))) == [(0, 0)]
 
 
@@ -360,7 +360,7 @@ def test_one_scan_per_panel(spark, sf):
 
 def test_tables_are_lazy(spark, sf):
     t = load(spark, sf)
-    assert len(t) == 10 and plan(t["orders"].select("o_orderkey")).count("o_orderkey:bigint") == 1
+    assert len(t) == 14 and plan(t["orders"].select("o_orderkey")).count("o_orderkey:bigint") == 1
 
 
 def test_given_schemas_are_those_of_the_files(spark, sf):
