@@ -10,12 +10,11 @@ from .operators.joins import asof_latest, in_segment, not_in_segment, orphans, s
 from .operators.ranking import pareto, rows_after, top_n_other, top_per_group
 from .operators.series import fill_gaps, moving, rolling, running, series, vs_previous, zscore
 from .operators.sets import members, period_diff, stack
-from .operators.skew import HotRule
 from .plans.panel import Join, Panel, run_panel
 from .sources.tables import event_stream, load, table
 
 __all__ = [
-    "Filter", "HotRule", "Join", "Panel", "apply_filters", "asof_latest", "breakdown",
+    "Filter", "Join", "Panel", "apply_filters", "asof_latest", "breakdown",
     "cross_totals", "derive", "distinct", "distinct_sketch", "event_stream", "facets",
     "fill_gaps", "first_last", "funnel", "funnel_times", "grouping_sets", "histogram",
     "in_segment", "json_dim", "kpi", "label_rates", "load", "matrix", "melt", "members",

@@ -12,9 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import freeze
-from .ordered import in_order, running_sums
-from .skew import DEFAULT, HotRule
+from .ordered import running_sums, split_in_order
 
 Dim = str | Column
 Measures = Mapping[str, Column]
@@ -64,19 +62,18 @@ def melt(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame
 
 
 def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float],
-                rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Exact interpolated percentiles, one column p<percent> each.
 
     Equal values are counted before the shuffle, then the counts are added up in
-    the order of the values. No task holds the values of a group in memory, and
-    groups with very many values are spread over chunks.
+    the order of the values. Groups are cut into chunks, so no task holds the values of
+    a group.
     """
     # Nulls count 0: they take no place in the order, but keep a group that has nothing else.
     counted = (df.groupBy(*dims, F.col(col).cast("double").alias("_v"))
                .agg(F.count(F.col(col)).alias("_n")))
-    # Written once, as looking for hot groups and the ordering both read it.
-    ordered = in_order(freeze(counted, "counted"), dims, [F.col("_v")], rule, parts)
-    ranked = running_sums(ordered, {"_upto": F.col("_n")})
+    order = [F.col("_v")]
+    ranked = running_sums(split_in_order(counted, dims, order, parts), order, {"_upto": F.col("_n")})
     last, below = F.col("_upto") - 1, F.col("_upto") - F.col("_n")
     size = F.col("_upto_total")
     picks, result = [], []

@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grain import time_bucket
-from .skew import DEFAULT, HotRule, find_hot, lookup_join
 
 
 def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
@@ -43,28 +42,27 @@ def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
             .drop("_session"))
 
 
-def funnel_times(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str],
-                 rule: HotRule = DEFAULT) -> DataFrame:
+def funnel_times(df: DataFrame, user: str, time: str, kind: str,
+                 steps: Sequence[str]) -> DataFrame:
     """Per user that did the first step: the time each step was reached, t1, t2, ...
 
     A step counts at its first event after the step before was reached. Each step
     is a minimum per user over the events of its type that come after; nothing
-    collects the events of a user.
+    collects the events of a user. One side of each join has one row per user; adaptive
+    execution splits the other where a user is busy.
     """
     df = df.filter(F.col(user).isNotNull())
-    hot = find_hot(df.filter(F.col(kind).isin(list(steps))), [user], rule)
     times = [df.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(time).alias("t1"))]
     for i, step in enumerate(steps[1:], start=2):
         events = df.filter(F.col(kind) == step).select(user, F.col(time).alias("_t"))
-        later = lookup_join(events, times[-1], user, hot).filter(F.col("_t") > F.col(f"t{i - 1}"))
+        later = events.join(times[-1], user).filter(F.col("_t") > F.col(f"t{i - 1}"))
         times.append(later.groupBy(user).agg(F.min("_t").alias(f"t{i}")))
     return reduce(lambda a, b: a.join(b, user, "left"), times)
 
 
-def funnel(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str],
-           rule: HotRule = DEFAULT) -> DataFrame:
+def funnel(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str]) -> DataFrame:
     """Users that reached each step, in all and as part of the first step."""
-    times = funnel_times(df, user, time, kind, steps, rule)
+    times = funnel_times(df, user, time, kind, steps)
     counts = times.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(steps) + 1)])
     rows = [F.struct(F.lit(i).cast("bigint").alias("step_no"), F.lit(s).alias("step"),
                      F.col(f"n{i}").alias("n_users"),

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grain import time_bucket
-from .ordered import CHUNK, KEY, carry_over, in_order
-from .skew import DEFAULT, HotRule
+from .ordered import CHUNK, KEY, carry_over, in_chunk, split_in_order
 
 Key = str | tuple[str, str]
 
@@ -64,13 +63,12 @@ def orphans(fact: DataFrame, dim: DataFrame, key: Key) -> DataFrame:
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
                 tie: str, values: Sequence[str], strict: bool = False,
-                rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Each left row with the `values` of the latest right row of its key.
 
     Latest means the greatest `rt` not after `lt` (before `lt` if strict), then
     the greatest `tie`. Left rows without one keep nulls. Both sides are put in
-    one order per key, and the last right row is carried along it; the rows of a
-    hot key are spread over chunks.
+    one order per key, cut into chunks, and the last right row is carried along it.
     """
     # At equal times the right row comes first when it counts as a match.
     side_left, side_right = (0, 1) if strict else (1, 0)
@@ -81,18 +79,14 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
         F.col(key).alias("_by"), F.col(rt).alias("_t"), F.lit(side_right).alias("_side"),
         F.col(tie).alias("_tie"), F.struct(*values).alias("_right"))
     is_right = F.col("_side") == side_right
-    both = in_order(lefts.unionByName(rights, allowMissingColumns=True), ["_by"],
-                    [F.col("_t"), F.col("_side"), F.col("_tie")], rule, parts)
-    last = F.last("_right", ignorenulls=True)
-    found = both.rest.withColumn("_hit", last.over(both.in_key)).filter(~is_right).select(
-        "_left", "_hit")
-    if both.chunks is not None:
-        latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
-        carry = carry_over(
-            both.chunks, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
-        seen = both.chunks.withColumn("_here", last.over(both.in_chunk)).filter(~is_right)
-        found = found.unionByName(seen.join(carry, [CHUNK, KEY], "left").select(
-            "_left", F.coalesce("_here", "_before").alias("_hit")))
+    order = [F.col("_t"), F.col("_side"), F.col("_tie")]
+    chunks = split_in_order(lefts.unionByName(rights, allowMissingColumns=True), ["_by"], order, parts)
+    latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
+    carry = carry_over(chunks, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
+    here = F.last("_right", ignorenulls=True).over(in_chunk(order))
+    seen = chunks.withColumn("_here", here).filter(~is_right)
+    found = seen.join(carry, [CHUNK, KEY], "left").select(
+        "_left", F.coalesce("_here", "_before").alias("_hit"))
     return found.select("_left.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 

@@ -1,25 +1,21 @@
 """Ordered work on keys of any size.
 
-A window over a key puts the whole key into one task. That is right for most keys,
-but not for one that holds a large share of the table. The rows of such hot keys
-are cut into chunks along the order (key, then time or value).
-`repartitionByRange` samples the rows, so the chunks are even whatever the keys
-are. At a chunk border at most one key goes on, so what has to be passed on to
-later chunks is at most two rows per chunk: small enough to broadcast, by
-construction.
+A window over a key puts the whole key into one task, which a key with a large share of the
+table does not allow. So the rows of all keys are cut into chunks along the order (key, then
+time or value). `repartitionByRange` samples the rows, so the chunks are even whatever the
+keys are, and the plan is the same at every size. At a chunk border at most one key goes on,
+so what has to be passed on to later chunks is at most two rows per chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import freeze
-from .skew import DEFAULT, HotRule, find_hot, only
 
 CHUNK, KEY, SPREAD = "_chunk", "_key", "_spread"
 
@@ -27,43 +23,10 @@ CHUNK, KEY, SPREAD = "_chunk", "_key", "_spread"
 State = tuple[Column, Callable[[Column], Column]]
 
 
-@dataclass(frozen=True)
-class Ordered:
-    """The rows of ordinary keys as they are, and those of hot keys in chunks."""
-
-    rest: DataFrame | None
-    chunks: DataFrame | None
-    by: tuple[str, ...]
-    order: tuple[Column, ...]
-
-    @property
-    def in_key(self) -> WindowSpec:
-        return _so_far(self.by, self.order)
-
-    @property
-    def in_chunk(self) -> WindowSpec:
-        return _so_far((CHUNK, KEY), self.order)
-
-
-def _so_far(by: Sequence[str], order: Sequence[Column]) -> WindowSpec:
-    return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-
-
-def in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
-             rule: HotRule = DEFAULT, parts: int | None = None,
-             count: DataFrame | None = None) -> Ordered:
-    """Split `df` into ordinary and hot keys. Without `by` the table is one key.
-
-    Hot keys are looked for in `count`, where that is cheaper to read than `df` and
-    has about as many rows per key.
-    """
-    hot = find_hot(df if count is None else count, by, rule)
-    if hot is None:
-        return Ordered(df, None, tuple(by), tuple(order))
-    if not by:
-        return Ordered(None, split_in_order(df, by, order, parts), (), tuple(order))
-    chunks = split_in_order(only(df, hot, by, "left_semi"), by, order, parts)
-    return Ordered(only(df, hot, by, "left_anti"), chunks, tuple(by), tuple(order))
+def in_chunk(order: Sequence[Column]) -> WindowSpec:
+    """The rows of a key in a chunk, up to the current one."""
+    return (W.partitionBy(CHUNK, KEY).orderBy(*order)
+            .rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
 def split_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column],
@@ -97,7 +60,8 @@ def carry_over(chunks: DataFrame, states: Mapping[str, State],
     """What a key brings into a chunk from its earlier chunks.
 
     `totals` are folded over all chunks of the key. Only keys that span chunks
-    appear, at most two in a chunk, so the result may be broadcast.
+    appear, at most two in a chunk. The rows of a chunk already lie by chunk and key, so a join
+    with the result moves none of them, whether Spark broadcasts it or not.
     """
     totals = totals or {}
     spanning = chunks.join(F.broadcast(_spanning_keys(chunks)), KEY, "left_semi")
@@ -106,10 +70,10 @@ def carry_over(chunks: DataFrame, states: Mapping[str, State],
     chain = W.partitionBy(KEY).orderBy(CHUNK)
     earlier = chain.rowsBetween(W.unboundedPreceding, -1)
     whole = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return F.broadcast(per_chunk.select(
+    return per_chunk.select(
         CHUNK, KEY,
         *[fold(F.col(n)).over(earlier).alias(n) for n, (_, fold) in states.items()],
-        *[fold(F.col(n)).over(whole).alias(n) for n, (_, fold) in totals.items()]))
+        *[fold(F.col(n)).over(whole).alias(n) for n, (_, fold) in totals.items()])
 
 
 def _with_sums(df: DataFrame, so_far: WindowSpec, values: Mapping[str, Column]) -> DataFrame:
@@ -119,34 +83,22 @@ def _with_sums(df: DataFrame, so_far: WindowSpec, values: Mapping[str, Column])
         *[F.sum(v).over(whole).alias(f"{n}_total") for n, v in values.items()])
 
 
-def chunk_sums(chunks: DataFrame, so_far: WindowSpec, values: Mapping[str, Column],
-               onto: DataFrame | None = None) -> DataFrame:
-    """Running and total sums over the chunks of a key, as `running_sums` gives them.
+def running_sums(chunks: DataFrame, order: Sequence[Column], values: Mapping[str, Column],
+                 onto: DataFrame | None = None) -> DataFrame:
+    """Per key: `name` = sum of value up to the row, `name_total` = sum over the key.
 
-    Added to `onto`, which holds the rows of `chunks` with further columns.
+    As with SQL, a sum over nulls only is null. The order must be complete, as with a ROWS
+    frame. Added to `onto`, which holds the rows of `chunks` with further columns.
     """
     carry = carry_over(
         chunks,
         {f"_b_{n}": (F.sum(v), F.sum) for n, v in values.items()},
         {f"_t_{n}": (F.sum(v), F.sum) for n, v in values.items()})
-    out = _with_sums(chunks if onto is None else onto, so_far, values)
+    out = _with_sums(chunks if onto is None else onto, in_chunk(order), values)
     out = out.join(carry, [CHUNK, KEY], "left")
     for n in values:
-        zero = F.lit(0)
-        out = (out.withColumn(n, F.coalesce(f"_b_{n}", zero) + F.coalesce(n, zero))
+        before, here = F.col(f"_b_{n}"), F.col(n)
+        out = (out.withColumn(n, F.coalesce(before + here, before, here))
                .withColumn(f"{n}_total", F.coalesce(f"_t_{n}", f"{n}_total"))
                .drop(f"_b_{n}", f"_t_{n}"))
     return out
-
-
-def running_sums(rows: Ordered, values: Mapping[str, Column]) -> DataFrame:
-    """Per key: `name` = sum of value up to the row, `name_total` = sum over the key.
-
-    The order must be complete, as with a ROWS frame.
-    """
-    found = []
-    if rows.rest is not None:
-        found.append(_with_sums(rows.rest, rows.in_key, values))
-    if rows.chunks is not None:
-        found.append(chunk_sums(rows.chunks, rows.in_chunk, values).drop(CHUNK, KEY))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])

@@ -10,34 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import freeze
 from .filters import _literal
-from .ordered import KEY, chunk_sums, in_order, running_sums
-from .skew import DEFAULT, HotRule
+from .ordered import KEY, running_sums, split_in_order
 
 
 def pareto(df: DataFrame, dim: str, measure: Column, tiles: int = 4,
-           rule: HotRule = DEFAULT, parts: int | None = None) -> DataFrame:
+           parts: int | None = None) -> DataFrame:
     """Share, cumulative share, tile and percent rank of each dimension value.
 
-    The largest value comes first, the dimension breaks ties. A dimension with
-    more values than one task handles with ease, such as customers, is numbered
-    and summed up in chunks. The measure should be an integer or a decimal.
+    The largest value comes first, the dimension breaks ties. The dimension is numbered
+    and summed up in chunks, as it may have as many values as there are customers.
+    The measure should be an integer or a decimal.
     """
-    grouped = freeze(df.groupBy(dim).agg(measure.alias("value")), "grouped")
+    grouped = df.groupBy(dim).agg(measure.alias("value"))
     order = (F.col("value").desc(), F.col(dim))
-    rows, one = in_order(grouped, [], order, rule, parts), F.lit(1).cast("bigint")
-    counts = {"_upto": one, "_sum": F.col("value")}
-    if rows.chunks is None:
-        rank = F.rank().over(W.orderBy(order[0])).cast("bigint") - 1
-        ranked = running_sums(rows, counts).withColumn("_rank", rank)
-    else:
-        # Rows of equal value are a run in the same order; where it starts is the rank.
-        numbered = chunk_sums(rows.chunks, rows.in_chunk, counts)
-        run = F.struct("value")
-        ranked = chunk_sums(rows.chunks.withColumn(KEY, run), rows.in_chunk, {"_place": one},
-                            onto=numbered.withColumn(KEY, run))
-        ranked = ranked.withColumn("_rank", F.col("_upto") - F.col("_place"))
+    chunks, one = split_in_order(grouped, [], order, parts), F.lit(1).cast("bigint")
+    numbered = running_sums(chunks, order, {"_upto": one, "_sum": F.col("value")})
+    # Rows of equal value are a run in the same order; where it starts is the rank.
+    run = F.struct("value")
+    ranked = running_sums(chunks.withColumn(KEY, run), order, {"_place": one},
+                          onto=numbered.withColumn(KEY, run))
+    ranked = ranked.withColumn("_rank", F.col("_upto") - F.col("_place"))
     n, at = F.col("_upto_total"), F.col("_upto")
     size, extra = F.floor(n / tiles), n % tiles
     long = extra * (size + 1)  # rows in the tiles that hold one more
@@ -54,15 +47,20 @@ def pareto(df: DataFrame, dim: str, measure: Column, tiles: int = 4,
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], dim: str, measure: Column,
-                  n: int) -> DataFrame:
+                  n: int, salts: int = 64) -> DataFrame:
     """The n largest dimension values of each group, `rank_no` from 1.
 
-    Spark cuts each task's rows to n per group before the shuffle, so a group with
-    very many values does not meet in one task.
+    Before a group meets in one task its rows are cut to a multiple of n. Spark itself cuts
+    each task's rows to n per group, up to an n of its own limit; for a larger n the group is
+    first dealt to `salts` tasks, and each keeps n.
     """
     grouped = df.groupBy(*group, dim).agg(measure.alias("value"))
-    w = W.partitionBy(*group).orderBy(F.col("value").desc(), F.col(dim))
-    return (grouped.withColumn("rank_no", F.row_number().over(w))
+    order = (F.col("value").desc(), F.col(dim))
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        dealt = grouped.withColumn("_salt", F.pmod(F.xxhash64(dim), F.lit(salts)))
+        place = F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order))
+        grouped = dealt.withColumn("_place", place).filter(F.col("_place") <= n).drop("_salt", "_place")
+    return (grouped.withColumn("rank_no", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
             .filter(F.col("rank_no") <= n))
 
 
@@ -71,15 +69,15 @@ def top_n_other(df: DataFrame, dim: str, measures: Mapping[str, Column], by: str
     """The n largest values of a dimension and one row for all others.
 
     `is_other` tells that row from a value of the same name. Measures are combined
-    with `combine`, so they must be additive. The top rows, at most n, are
-    broadcast to mark the others.
+    with `combine`, so they must be additive. Spark decides by size how the n top rows
+    are joined to mark the others.
     """
     grouped = df.groupBy(dim).agg(*[c.alias(m) for m, c in measures.items()])
     # The dimension makes the order complete. The measures behind it keep both uses
     # of `grouped` alike, so that Spark computes it once.
     top = (grouped.orderBy(F.col(by).desc(), F.col(dim), *measures).limit(n)
            .select(F.col(dim).alias("_top")).withColumn("_in", F.lit(True)))
-    marked = grouped.join(F.broadcast(top), F.col(dim).eqNullSafe(F.col("_top")), "left")
+    marked = grouped.join(top, F.col(dim).eqNullSafe(F.col("_top")), "left")
     is_other = F.col("_in").isNull()
     return marked.groupBy(
         F.when(is_other, F.lit(other)).otherwise(F.col(dim).cast("string")).alias(dim),

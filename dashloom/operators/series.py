@@ -16,8 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grain import STEPS, truncate
-from .ordered import in_order, running_sums
-from .skew import DEFAULT, HotRule
+from .ordered import running_sums, split_in_order
 
 
 def series(df: DataFrame, time: str, grain: str, measures: Mapping[str, Column],
@@ -84,8 +83,7 @@ def running(points: DataFrame, measure: str, dims: Sequence[str] = ()) -> DataFr
 
 
 def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
-            values: Mapping[str, Column], rule: HotRule = DEFAULT,
-            parts: int | None = None) -> DataFrame:
+            values: Mapping[str, Column], parts: int | None = None) -> DataFrame:
     """Totals over the span `back` up to each moment a key has a row.
 
     One row per key and moment; a row exactly `back` earlier still counts. Each
@@ -105,9 +103,8 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
         *by, (F.col("t") + span).alias("t"),
         *[(-F.col(n)).alias(n) for n in (*values, *known.values())], F.lit(1).alias("_leaving"))
     order = [F.col("t"), F.col("_leaving")]
-    # Each of the two sides has at most one row per row of `df`.
-    ordered = in_order(enter.unionByName(leave), by, order, rule, parts, count=df)
-    sums = running_sums(ordered, {f"_{n}": F.col(n) for n in (*values, *known.values())})
+    chunks = split_in_order(enter.unionByName(leave), by, order, parts)
+    sums = running_sums(chunks, order, {f"_{n}": F.col(n) for n in (*values, *known.values())})
     return sums.filter(F.col("_leaving") == 0).select(
         *by, "t", *[F.when(F.col(f"_{k}") > 0, F.col(f"_{n}")).alias(n) for n, k in known.items()])
 

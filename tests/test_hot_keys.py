@@ -12,13 +12,12 @@ from conftest import at, plan, rows
 from dashloom.operators.aggregates import percentiles
 from dashloom.operators.behaviour import funnel_times
 from dashloom.operators.joins import asof_latest
-from dashloom.operators.ordered import CHUNK, in_order
-from dashloom.operators.ranking import pareto
+from dashloom.operators.ordered import CHUNK, split_in_order
+from dashloom.operators.ranking import pareto, top_per_group
 from dashloom.operators.series import rolling
-from dashloom.operators.skew import HotRule, find_hot, only
 
-# Nothing hot, some keys hot, every key hot.
-RULES = [HotRule(), HotRule(share=0.2, min_rows=20), HotRule(share=0.0, min_rows=0)]
+# One chunk, a few, more than some have rows.
+PARTS = [1, 7, 40]
 
 
 def _users(rng, n):
@@ -26,9 +25,9 @@ def _users(rng, n):
     return [1 if rng.random() < 0.5 else rng.choice([2, 3, 4, 5, 6, 7, None]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("rule", RULES)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("strict", [False, True])
-def test_asof(spark, rule, strict):
+def test_asof(spark, parts, strict):
     rng = random.Random(3)
     left = [(i, u, at(rng.randrange(120))) for i, u in enumerate(_users(rng, 300))]
     left += [(900, 1, at(50)), (901, 1, at(50))] * 40  # copies
@@ -41,18 +40,18 @@ def test_asof(spark, rule, strict):
     ldf = spark.createDataFrame(left, "id long, user_id long, ts timestamp_ntz").repartition(3)
     rdf = spark.createDataFrame(
         right, "rid long, user_id long, rts timestamp_ntz, v long").repartition(3)
-    got = asof_latest(ldf, rdf, "user_id", "ts", "rts", "rid", ["v"], strict, rule, parts=7)
+    got = asof_latest(ldf, rdf, "user_id", "ts", "rts", "rid", ["v"], strict, parts=parts)
     assert sorted(map(str, got.collect())) == sorted(
         map(str, spark.createDataFrame(want, got.schema).collect()))
 
 
-@pytest.mark.parametrize("rule", RULES)
-def test_rolling(spark, rule):
+@pytest.mark.parametrize("parts", PARTS)
+def test_rolling(spark, parts):
     rng = random.Random(4)
     data = [(u, at(rng.randrange(300)), rng.randrange(1, 1000)) for u in _users(rng, 400)]
     df = spark.createDataFrame(data, "u long, ts timestamp_ntz, v long").repartition(3)
     got = rolling(df, ["u"], "ts", dt.timedelta(minutes=30),
-                  {"s": F.col("v"), "n": F.lit(1)}, rule, parts=6)
+                  {"s": F.col("v"), "n": F.lit(1)}, parts=parts)
     want = set()
     for u, t, _ in data:
         vs = [v for uu, tt, v in data if uu == u and t - dt.timedelta(minutes=30) <= tt <= t]
@@ -61,14 +60,14 @@ def test_rolling(spark, rule):
     assert {tuple(r) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("rule", RULES)
-def test_percentiles(spark, rule):
+@pytest.mark.parametrize("parts", PARTS)
+def test_percentiles(spark, parts):
     rng = random.Random(5)
     data = [(rng.choice(["a", "a", "a", "b", None]), float(rng.randrange(60))) for _ in range(500)]
     data += [("one", 7.0), ("two", 1.0), ("two", 2.0), ("gone", None)]
     df = spark.createDataFrame(data, "d string, v double").repartition(3)
     ps = [0.0, 0.1, 0.5, 0.99, 1.0]
-    got = {r[0]: tuple(r)[1:] for r in percentiles(df, ["d"], "v", ps, rule, parts=5).collect()}
+    got = {r[0]: tuple(r)[1:] for r in percentiles(df, ["d"], "v", ps, parts=parts).collect()}
     groups = defaultdict(list)
     for d, v in data:
         if v is not None:
@@ -84,14 +83,14 @@ def test_percentiles(spark, rule):
             assert found == pytest.approx(float(vs[lo] + (vs[hi] - vs[lo]) * (pos - lo)))
 
 
-@pytest.mark.parametrize("rule", [HotRule(), HotRule(min_rows=10)])
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("top", [3, 1000])
-def test_pareto(spark, rule, top):
+def test_pareto(spark, parts, top):
     """Few distinct values make runs of equal values that go over several chunks."""
     rng = random.Random(6)
     values = {i: rng.randrange(1, top + 1) for i in range(203)}
     df = spark.createDataFrame(list(values.items()), "k long, v long").repartition(3)
-    got = {r.k: r for r in pareto(df, "k", F.sum("v"), 4, rule, parts=6).collect()}
+    got = {r.k: r for r in pareto(df, "k", F.sum("v"), 4, parts=parts).collect()}
     ranked = sorted(values, key=lambda k: (-values[k], k))
     total, running = sum(values.values()), 0
     sizes = [51, 51, 51, 50]
@@ -113,14 +112,13 @@ def test_pareto_small(spark):
     assert rows(pareto(one.limit(0), "k", F.sum("v"))) == []
 
 
-@pytest.mark.parametrize("rule", RULES)
-def test_funnel(spark, rule):
+def test_funnel(spark):
     rng = random.Random(7)
     users = _users(rng, 500)
     data = [(u, at(rng.randrange(400)), rng.choice("abcx")) for u in users]
     df = spark.createDataFrame(data, "u long, ts timestamp_ntz, kind string").repartition(3)
     got = {r[0]: tuple(r)[1:] for r in
-           funnel_times(df, "u", "ts", "kind", ["a", "b", "c"], rule).collect()}
+           funnel_times(df, "u", "ts", "kind", ["a", "b", "c"]).collect()}
     want = {}
     for u in {u for u in users if u is not None}:
         times, after = [], None
@@ -134,24 +132,14 @@ def test_funnel(spark, rule):
     assert got == want
 
 
-def test_hot_rule(spark):
-    df = spark.createDataFrame([(1,)] * 60 + [(None,)] * 30 + [(i,) for i in range(2, 12)], "k long")
-    assert find_hot(df, ["k"]) is None
-    hot = find_hot(df, ["k"], HotRule(share=0.25, min_rows=10))
-    assert {r.k for r in only(df, hot, ["k"], "left_semi").collect()} == {1, None}
-    assert only(df, hot, ["k"], "left_anti").count() == 10
-    assert find_hot(df, ["k"], HotRule(share=0.25, min_rows=50)).count() == 1
-    assert find_hot(df.limit(0), ["k"], HotRule(share=0.25, min_rows=0)) is None
-    assert find_hot(df, [], HotRule(min_rows=99)) is not None
-    assert find_hot(df, [], HotRule(min_rows=100)) is None
-
-
-def test_hot_keys_are_found_among_many(spark):
-    """A share of 1/5,000 stands out from two million keys seen once."""
-    df = spark.range(0, 2_000_000, 1, 40).select(
-        F.when(F.col("id") % 5000 == 1, -1).otherwise(F.col("id")).alias("k"))
-    hot = find_hot(df, ["k"], HotRule(min_rows=100))
-    assert [r.k for r in only(df, hot, ["k"], "left_semi").distinct().collect()] == [-1]
+@pytest.mark.parametrize("parts", [1, 5])
+def test_null_sums(spark, parts):
+    """A span that holds nulls only has no total, in one chunk as in several."""
+    data = [(1, at(m), None if m < 40 else m) for m in range(60)]
+    df = spark.createDataFrame(data, "u long, ts timestamp_ntz, v long")
+    got = rolling(df, ["u"], "ts", dt.timedelta(minutes=5), {"s": F.col("v")}, parts=parts)
+    want = [(1, at(m), sum(range(max(40, m - 5), m + 1)) if m >= 40 else None) for m in range(60)]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == want
 
 
 def test_chunks_are_even(spark):
@@ -159,15 +147,24 @@ def test_chunks_are_even(spark):
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
         F.lit(at(0)).cast("timestamp_ntz").alias("t"), F.col("id").alias("v")).repartition(20)
-    ordered = in_order(df, ["k"], [F.col("t")], HotRule(share=0.1, min_rows=100), parts=8)
-    assert ordered.rest.count() == 4000 and ordered.chunks.count() == 2000
-    sizes = [r["count"] for r in ordered.chunks.groupBy(CHUNK).count().collect()]
-    assert max(sizes) < 2000 / 2
+    chunks = split_in_order(df, ["k"], [F.col("t")], 8)
+    sizes = [r["count"] for r in chunks.groupBy(CHUNK).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 6000 / 4
+
+
+def test_top_of_large_groups(spark):
+    """More than Spark cuts by itself: the group is cut in parts before it meets in one task."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("d"))
+    got = top_per_group(df, ["g"], "d", F.max(F.col("d") % 7000), 5000, salts=4)
+    want = sorted(((d % 2, -(d % 7000), d) for d in range(20_000)))
+    want = [x for g in (0, 1) for x in [w for w in want if w[0] == g][:5000]]
+    assert sorted((r.g, -r.value, r.d) for r in got.collect()) == want
+    assert "_salt" in plan(got)
 
 
 def test_carry_is_small(spark):
     """What is broadcast grows with the chunks and not with the keys."""
-    from dashloom.operators.ordered import carry_over, split_in_order
+    from dashloom.operators.ordered import carry_over
     df = spark.range(5000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
     chunks = split_in_order(df, ["k"], [F.col("v")], 9)
     carry = carry_over(chunks, {"s": (F.sum("v"), F.sum)})
