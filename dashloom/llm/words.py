@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 18  # bytes of text hashed at once; longer texts are a chunk of their own
+BATCH = 1000  # rows sent to a Python task at once
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -54,6 +56,17 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def few_at_once(spark: SparkSession) -> None:
+    """From now on at most BATCH rows go to a Python task at once; a smaller setting stays.
+
+    Both the JVM and Python hold a whole batch outside the heap; Spark's default of 10,000
+    rows is a lot of text.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones, so that few texts are held as Python strings at once."""
     for batch in batches:
