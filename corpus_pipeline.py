@@ -2,7 +2,8 @@
 
 Each stage is a function (spark, docs, sf_dir) over all that its predecessor kept. What it
 returns is written as Parquet and read again as the next one's documents; a lost executor
-costs part of one stage. All but the last return the columns of `documents`.
+costs part of one stage. All but the last return the columns of `documents`. Stages with Python
+tasks lower the session's Arrow batches to `words.BATCH` rows, and that stays.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from dashloom.llm import decontam, jaccard, line_dedup, packing, quality
 from dashloom.llm.queries import tokenizer
 from dashloom.llm.registry import table
+from dashloom.llm.words import few_at_once
 from dashloom.session import new_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers score below a half go."""
+    few_at_once(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,16 +35,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    few_at_once(spark)
     return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    few_at_once(spark)
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark"), width=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of what is left, packed into sequences of at most 2048."""
+    few_at_once(spark)
     pieces = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), window=2048)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), window=2048)
 
