@@ -13,6 +13,7 @@ import pytest
 from dashloom.llm import embedding, line_dedup, packing, quality, sharding, token_cache, toxicity
 from dashloom.llm.html import extract
 from dashloom.llm.registry import ORACLES, QUERIES
+from dashloom.llm.words import few_at_once
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -222,3 +223,15 @@ def test_pipeline(spark, sf):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == ids
     assert cp.ORACLE_SQL is None
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):  # 0 is no limit
+            spark.conf.set(name, given)
+            few_at_once(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
