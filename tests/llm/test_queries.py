@@ -164,6 +164,39 @@ def test_vectors(spark):
     assert embedding.near_copies(df.limit(0)).count() == 0
 
 
+def few_copies(n, share, dims=64):
+    """Vectors of which few have a near copy, and the number of links of each by brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(int(n * share), dims))
+    away -= (away * x[: len(away)]).sum(1)[:, None] * x[: len(away)]
+    x = np.r_[x, 0.92 * x[: len(away)] + (1 - 0.92**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)]
+    return x, (x @ x.T >= 0.9).sum(1) - 1
+
+
+def test_few_copies(spark):
+    x, n = few_copies(2000, 0.02)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding.near_copies(df).collect()}
+    assert n.sum() == 80 and [got[i]["n_links"] for i in range(len(x))] == n.tolist()
+    assert [got[2000 + i]["component_id"] for i in range(40)] == list(range(40))
+
+
+def test_index_visits(spark, monkeypatch):
+    x, n = few_copies(1500, 0.2, 4)  # few dimensions: chains of links, and more neighbours
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {r["vec_id"]: r for r in embedding.near_copies(df).collect()}
+    assert [want[i]["n_links"] for i in range(len(x))] == n.tolist()
+    for name, value in {"ALL": 900, "BLOCK": 300, "PROBES": 250, "VISITS": 4096}.items():
+        monkeypatch.setattr(embedding, name, value)
+    indexed = {r["vec_id"]: r["n_links"] for r in embedding.near_copies(df).collect()}
+    assert all(indexed[i] <= n[i] for i in range(len(x))) and 0.98 * n.sum() <= sum(indexed.values())
+    monkeypatch.setattr(embedding, "VISITS", 0)  # too many cells: all pairs, in several blocks
+    again = {r["vec_id"]: r for r in embedding.near_copies(df).collect()}
+    assert again == want
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     words = [f"w{i}" for i in range(3000)]
