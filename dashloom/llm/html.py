@@ -15,7 +15,7 @@ from .fit import Tree
 from .words import small
 
 # Element names of HTML.
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl",
@@ -25,12 +25,24 @@ _BLOCK = {
 }
 _AROUND = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "label", "fieldset"}
 _ARTICLE = {"article", "main"}
+_NESTED = {"template", "svg", "math", "object", "canvas"}  # dropped with all in them; one left open holds nothing
 #: Words in a class, id or role that name what stands around an article.
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|popup|modal|overlay|"
     r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|header|masthead|topbar|toolbar|pagination|pager|"
     r"comment\w*|disqus|reply|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|login|"
     r"signup|search\w*|widget\w*|contentinfo|complementary|navigation|alert|legal|copyright|hidden)(?=$|[\s_-])", re.I)
+#: Those of them that name a text of its own, never the frame of a page.
+_OWN = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|breadcrumb\w*|pagination|pager|"
+    r"comment\w*|disqus|reply|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|login|signup|"
+    r"alert|legal|copyright)(?=$|[\s_-])", re.I)
+#: Names that say how a page is laid out, the last ones only beside the name of a frame.
+_MODIFIER = re.compile(r"(?:has|no|with|without)[_-].*", re.I)
+_FRAME = re.compile(r"layout|wrapper|wrap|container|site|page|content", re.I)
+_PLACE = re.compile(r"(?:fixed|sticky)[_-].*|.*[_-](?:left|right)", re.I)
+#: What marks an element, by what it takes to show that it is the frame of an article after all.
+FRAME, OWN, ELEMENT, HIDDEN = 1, 2, 3, 4
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
@@ -46,27 +58,111 @@ class Block:
     article: bool = False
     heading: bool = False
     parts: list[tuple[str, bool]] = field(default_factory=list, repr=False)
+    within: int = field(default=-1, repr=False)  # the number of the innermost marked element or article
+    title: bool = field(default=False, repr=False)
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> int:
+    kind = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
+            names = [n for n in value.split() if not _MODIFIER.fullmatch(n)]
+            if any(_FRAME.fullmatch(n) for n in names):
+                names = [n for n in names if not _PLACE.fullmatch(n)]
+            value = " ".join(names)
             if _MARKED.search(value):
-                return True
+                kind = max(kind, OWN if _OWN.search(value) else FRAME)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HIDDEN
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HIDDEN
+    return kind
+
+
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of that name ends, by where its first tag ends; those left open are not in it."""
+    ends, starts = {}, []
+    for m in re.finditer(rf"<(/?){name}(?=[\s>/])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I):
+        if not m[1]:
+            if not (name in ("svg", "math") and m[2].endswith("/")):
+                starts.append(m.end())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
+def _lift(found: list[Block], elements: list[tuple[str, int, int]]) -> None:
+    """Sets which blocks stand around; a mark goes where it is on the frame of the main text.
+
+    The marks around <main> go. Those around an <article> go if it has more words than all that is
+    unmarked, four times as many where an article is unmarked. Those around the most words go if
+    they name the layout and hold four times the unmarked words, or hold a title and more words,
+    and no article is unmarked but one that they are in. Save for <main>, no title may stand
+    unmarked elsewhere. What is hidden stays so.
+    """
+    kinds = [kind for _, kind, _ in elements]
+
+    def count() -> tuple[list[int], list[bool], list[int]]:
+        """Each element's words and title outside marks within it, and its innermost mark."""
+        words, title, mark = [0] * (len(elements) + 1), [False] * (len(elements) + 1), [-1] * (len(elements) + 1)
+        for b in found:  # the last place, -1, is the page
+            words[b.within] += b.words - b.link_words
+            title[b.within] |= b.title
+        for e in reversed(range(len(elements))):
+            if not kinds[e]:
+                words[elements[e][2]] += words[e]
+                title[elements[e][2]] |= title[e]
+        for e, (_, _, above) in enumerate(elements):
+            mark[e] = e if kinds[e] else mark[above]
+        return words, title, mark
+
+    def path(mark: int) -> list[int]:
+        out = []
+        while mark >= 0:
+            if kinds[mark]:
+                out.append(mark)
+            mark = elements[mark][2]
+        return out
+
+    def lift(around: list[int]) -> None:
+        if all(kinds[e] != HIDDEN for e in around):
+            for e in around:
+                kinds[e] = 0
+
+    words, title, mark = count()
+    for e, (name, _, _) in enumerate(elements):
+        if name == "main" and words[e] and mark[e] >= 0:
+            lift(path(e))
+    words, title, mark = count()
+    whole = any(b.article and mark[b.within] < 0 for b in found)
+    articles = [e for e, (name, _, _) in enumerate(elements) if name in _ARTICLE and mark[e] >= 0 and (title[e] or not title[-1])]
+    best = max(articles, key=lambda e: words[e], default=-1)
+    if best >= 0 and words[best] > (4 if whole else 1) * words[-1]:
+        lift(path(best))
+        words, title, mark = count()
+    clear = any(b.article and mark[b.within] < 0 for b in found)
+    groups = {mark[b.within] for b in found if b.article or not clear} - {-1}
+    for best in sorted(groups, key=lambda e: (-words[e], e)):
+        around = path(best)
+        kind = max(kinds[e] for e in around)
+        if not title[-1] and words[best] and (
+                title[best] and kind <= OWN and words[best] > words[-1] or kind == FRAME and words[best] >= 4 * words[-1]):
+            lift(around)
+            mark = count()[2]
+            break
+    for b in found:
+        b.around = mark[b.within] >= 0
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks in order; scripts, styles, comments and markup are no text."""
     page = page or ""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool]] = []  # name, and whether it names itself as no article
-    links = around = article = 0
+    open_tags: list[tuple[str, int]] = []  # name, and the number of the innermost marked element or article, or -1
+    elements: list[tuple[str, int, int]] = []  # name and mark of those, and the number of the one around
+    ends: dict[str, dict[int, int]] = {}
+    links = article = 0
     current = Block()
 
     def close() -> None:
@@ -79,9 +175,8 @@ def blocks(page: str | None) -> list[Block]:
         current = Block()
 
     def leave(n: int) -> None:
-        nonlocal around, article, links
-        for name, marked in open_tags[n:]:
-            around -= marked
+        nonlocal article, links
+        for name, _ in open_tags[n:]:
             article -= name in _ARTICLE
             links -= name == "a"
         del open_tags[n:]
@@ -89,7 +184,8 @@ def blocks(page: str | None) -> list[Block]:
     def add(raw: str) -> None:
         if raw:
             if not current.parts:
-                current.around, current.article = around > 0, article > 0
+                current.within, current.article = open_tags[-1][1] if open_tags else -1, article > 0
+                current.title = any(name == "h1" for name, _ in open_tags)
                 current.heading = any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, _ in open_tags)
             current.parts.append((html.unescape(raw), links > 0))
 
@@ -113,6 +209,11 @@ def blocks(page: str | None) -> list[Block]:
             if known:
                 leave(known[-1])
             continue
+        if name in _NESTED:
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            at = ends[name].get(at, at)
+            continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(page, at)
             if not end:
@@ -126,16 +227,22 @@ def blocks(page: str | None) -> list[Block]:
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "a"):  # these do not nest
             if open_tags and open_tags[-1][0] == name:
                 leave(len(open_tags) - 1)
-        marked = name in _AROUND or _marked(m[3])
-        if name in ("header", "aside") and article:  # an article's own header holds its title
-            marked = name == "aside" or _marked(m[3])
+        marked = _marked(m[3])
+        if name in ("form", "fieldset"):
+            marked = max(marked, FRAME)
+        elif name in _AROUND and not (name == "header" and article):  # an article's own header holds its title
+            marked = max(marked, ELEMENT)
         if name in _ARTICLE or name == "body":
-            marked = False
-        open_tags.append((name, marked))
-        around += marked
+            marked = 0
+        number = open_tags[-1][1] if open_tags else -1
+        if marked or name in _ARTICLE:
+            elements.append((name, marked, number))
+            number = len(elements) - 1
+        open_tags.append((name, number))
         article += name in _ARTICLE
         links += name == "a"
     close()
+    _lift(out, elements)
     return out
 
 

@@ -164,6 +164,45 @@ def test_vectors(spark):
     assert embedding.near_copies(df.limit(0)).count() == 0
 
 
+STORY = "<h1>A title</h1><p>" + "One long story about many things. " * 8 + "</p><p>It goes on here, and then it ends.</p>"
+TOLD = "\n\n".join(["A title", " ".join(["One long story about many things."] * 8), "It goes on here, and then it ends."])
+TOP, FOOT = "<nav><a href=/>Home</a></nav>", "<footer>All rights reserved by us.</footer>"
+FRAMES = ["layout has-sidebar", "site no-sidebar", "wrapper sidebar-right", "fixed-header", "page with-comments", "sidebar-left main-area"]
+SIDE = "<div class='sidebar'><p>Other stories of this week are here.</p></div>"
+TALK = "<div id=comments>" + "<article class=comment><p>I disagree with all of this, and I always did.</p></article>" * 9 + "</div>"
+
+
+def main_of(page):
+    from dashloom.llm.html import main_text, tree
+
+    return main_text(page, tree())
+
+
+@pytest.mark.parametrize("name", FRAMES)
+@pytest.mark.parametrize("story", [STORY, f"<main>{TOP}<div class='row-header'>{STORY}</div></main>", f"<article>{STORY}</article>", f"<main>{STORY}</main>", f"<main><div class='search'>{STORY}</div></main>"])
+def test_frames_lose_nothing(name, story):
+    assert main_of(f"<body><div class='{name}'>{TOP}{story}{SIDE}</div>{FOOT}</body>") == TOLD
+    assert main_of(f"<body><div class='{name}'><div id='{name}'>{TOP}{story}</div></div>{SIDE}{FOOT}</body>") == TOLD
+    assert main_of(f"<body><form action=/>{TOP}{story}{SIDE}{FOOT}</form></body>") == TOLD
+    assert main_of(f"<body><div class='{name}'>{story}</div><div class=comments><p>{'I disagree with it. ' * 90}</p></div></body>") == TOLD
+
+
+def test_what_stands_around_stays_out():
+    for page in (f"{TOP}<article>{STORY}</article>{TALK}{SIDE}", f"{TOP}{STORY}{TALK}{SIDE}{FOOT}", f"<main>{STORY}{TALK}</main>{FOOT}",
+                 f"{TOP}{STORY}<div class='sidebar-right'><p>{'Other stories. ' * 90}</p></div>",
+                 f"<article>{STORY}</article><aside><article><p>{'Teaser text. ' * 200}</p></article></aside>"):
+        assert main_of(page) == TOLD
+    for page in (f"{TOP}<div id=cookie-notice>We use cookies on this site.</div>", f"<div style='display:none'><main>{STORY}</main></div>"):
+        assert main_of(page) == ""
+
+
+def test_drawings_end_where_they_end():
+    for gone in ("<svg viewBox='0 0 1 1'/>", "<math />", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<template><p>no</template>",
+                 "<svg>", "<object data=x>", "<canvas>", "<template>", "<object data=x />", "<math>"):
+        for later in ("", "<svg><text>no</text></svg><math><mi>x</mi></math>"):
+            assert main_of(f"<article>{gone}{STORY}{later}</article>") == TOLD, gone + later
+
+
 def few_copies(n, share, dims=64):
     """Vectors of which few have a near copy, and the number of links of each by brute force."""
     rng = np.random.default_rng(5)
