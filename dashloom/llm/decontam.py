@@ -33,7 +33,8 @@ def size_class(n: int) -> int:
 
 
 class ItemIndex:
-    """MinHash values of items, by size class. Items of one class are searched in windows of
+    """MinHash values of items, by size class, and the shingles themselves of items of the smallest
+    class, a few of which are too small a part of a window for 64 values. Items of one other class are searched in windows of
     their class plus a block, so an item's share of a window is bounded from below: at least a
     third for items in the upper half of a class, whatever the length of the document."""
 
@@ -46,8 +47,12 @@ class ItemIndex:
             if len(grams):
                 self.ids.append(item_id)
                 self.sets.append(np.unique(grams))
+        few = [i for i, s in enumerate(self.sets) if size_class(len(s)) == BLOCK]
+        grams = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in few)])
+        order = np.argsort(grams, kind="stable")
+        self.few = grams[order], np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])[order]
         self.classes = {}
-        for size in sorted({size_class(len(s)) for s in self.sets}):
+        for size in sorted({size_class(len(s)) for s in self.sets} - {BLOCK}):
             own = np.array([i for i, s in enumerate(self.sets) if size_class(len(s)) == size])
             values = np.stack([_least(self.sets[i], np.array([0]))[:, 0] for i in own], axis=1)
             tables = np.zeros((HASHES, _TABLE), bool)
@@ -56,8 +61,13 @@ class ItemIndex:
             self.classes[size] = (own, values, tables)
 
     def candidates(self, hashes: np.ndarray, where: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a MinHash value in some window."""
+        """(text, item) pairs that share a MinHash value in some window, or a shingle of a small item."""
         found: set[tuple[int, int]] = set()
+        grams, of = self.few
+        lo, hi = (np.searchsorted(grams, hashes, side=s) for s in ("left", "right"))
+        hit = np.flatnonzero(lo < hi)
+        for t, a, b in np.unique(np.c_[where[hit], lo[hit], hi[hit]], axis=0).tolist():
+            found.update((t, item) for item in of[a:b].tolist())
         if not len(hashes) or not self.classes:
             return found
         first = np.r_[0, np.flatnonzero(np.diff(where)) + 1]
@@ -126,7 +136,8 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
     Items are split by size, and each class is searched in windows of about its own size over
     the whole document, so a short item is a good part of a window even in a long document.
-    Any common MinHash value of 64 makes a candidate, which exact shingle sets then verify. No
+    Any common MinHash value of 64 makes a candidate, for items of at most BLOCK shingles any
+    common shingle, which exact shingle sets then verify. No
     row of `docs` is shuffled. Items go to the tasks ITEMS_AT_ONCE at a time; a larger table
     takes a pass over the documents for each such block.
     """

@@ -59,6 +59,16 @@ def test_edge_cases(spark):
     assert sorted((x[0] for x in kept.collect())) == sorted(x for x, _ in docs if x not in flagged)
 
 
+def test_items_of_few_shingles(spark):
+    r = random.Random(4)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    items = [(i, text(5 + i % 4 // 3)) for i in range(3000)] + [(3000, "a b c d e f g h i j k l")]
+    docs = [(i, f"{text(30)} {t} {text(30)}") for i, t in items]
+    docs.append((9000, f"a b c d e f g h {text(99)} e f g h i j k l"))  # all shingles, in two places
+    found = result(find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, t, 1.0) for i, t in items], ITEMS)))
+    assert {x[:2] for x in found} == {(i, i) for i, _ in items} | {(9000, 3000)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], ITEMS)
