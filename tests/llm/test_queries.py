@@ -222,6 +222,19 @@ def test_few_copies(spark):
     assert [got[2000 + i]["component_id"] for i in range(40)] == list(range(40))
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    parts = [few_copies(300, 0.1, dims) for dims in (64, 2, 3, 192)]
+    rows = [(1000 * k + i, v.tolist()) for k, (x, _) in enumerate(parts) for i, v in enumerate(x) if k != 1] + [(5000, [2.0]), (5001, [0.5]), (5002, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {1000 * k + i: c for k, (_, n) in enumerate(parts) for i, c in enumerate(n.tolist()) if k != 1} | {5000: 1, 5001: 1, 5002: 0}
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_copies(df).collect()}
+    assert got == want
+    for name, value in {"ALL": 100, "BLOCK": 100, "PROBES": 20, "VISITS": 4096}.items():
+        monkeypatch.setattr(embedding, name, value)
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_copies(df).collect()}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.95 * sum(want.values())
+
+
 def test_index_visits(spark, monkeypatch):
     x, n = few_copies(1500, 0.2, 4)  # few dimensions: chains of links, and more neighbours
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
