@@ -222,6 +222,20 @@ def test_few_copies(spark):
     assert [got[2000 + i]["component_id"] for i in range(40)] == list(range(40))
 
 
+def test_recall_of_the_index(spark, monkeypatch):
+    x, n = few_copies(3000, 0.02)  # no equal vectors: every link is one that the index has to find
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in {"ALL": 1500, "BLOCK": 1000, "PROBES": 30, "VISITS": 4096}.items():
+        monkeypatch.setattr(embedding, name, value)
+    tried = []
+    indexed = embedding._indexed
+    monkeypatch.setattr(embedding, "_indexed", lambda classes, index, least: tried.append(index.visits) or indexed(classes, index, least))
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_copies(df).collect()}
+    recall = sum(got.values()) / n.sum()
+    print(f"recall {recall:.4f} of {n.sum()} links, visits {tried}")
+    assert len(tried) == 1 and all(got[i] <= n[i] for i in range(len(x))) and recall >= 0.97
+
+
 def test_vectors_of_many_lengths(spark, monkeypatch):
     parts = [few_copies(300, 0.1, dims) for dims in (64, 2, 3, 192)]
     rows = [(1000 * k + i, v.tolist()) for k, (x, _) in enumerate(parts) for i, v in enumerate(x) if k != 1] + [(5000, [2.0]), (5001, [0.5]), (5002, [-1.0])]
