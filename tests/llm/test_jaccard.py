@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from dashloom.llm.jaccard import ngram_join
+from dashloom.llm.jaccard import ngram_join, one_of_each
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, n_shingles string, node long, label int"
@@ -73,3 +73,13 @@ def test_hot_groups(spark):
 
 def test_empty(spark):
     assert ngram_join(spark.createDataFrame([], DOCS), 3, 90).collect() == []
+
+
+def test_one_of_each(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = {d for d, n, first in brute(rows, 5, 80) if n == 0 or d == first}
+    kept = one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == {tuple(r) for r in docs.collect() if r["doc_id"] in want}

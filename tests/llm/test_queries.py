@@ -324,6 +324,20 @@ def test_pipeline(spark, sf):
     assert cp.ORACLE_SQL is None
 
 
+def test_line_stage_by_hand(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"Shared Line\nown {i}", "en", "s", 11 + len(f"own {i}") + 1) for i in range(12)]
+    rows += [(100 + i, "the same text\nin all", "en", "s", 20) for i in range(15)]  # copies of one text count once
+    rows += [(200, None, "en", "s", 0), (201, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in cp.line_stage(spark, docs, "").collect()), key=lambda r: r[0])
+    whole = [r for r in got if r in rows]
+    cut = {(i, f"own {i}", "en", "s", len(f"own {i}")) for i in range(12)}
+    assert len(got) == len(rows) and len([r for r in whole if r[0] < 12]) == 1
+    assert all(r in cut for r in got if r[0] < 12 and r not in rows) and [r for r in got if r[0] >= 100] == rows[12:]
+
+
 def test_batches_are_bounded(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
