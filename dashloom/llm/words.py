@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,18 @@ def few_at_once(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession) -> Iterator[None]:
+    """At most BATCH rows at once for what is written inside; then the session's setting is back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    few_at_once(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones, so that few texts are held as Python strings at once."""
     for batch in batches:

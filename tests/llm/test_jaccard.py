@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from conftest import plan
+from dashloom.llm import jaccard
 from dashloom.llm.jaccard import ngram_join, one_of_each
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ def grams(text, width):
 
 def brute(rows, width, percent):
     sets = [grams(t, width) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while root[i] != i:
@@ -28,15 +31,17 @@ def brute(rows, width, percent):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return sorted(((d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return sorted(((d, len(s), least.get(find(i)), links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
 def result(df):
-    return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
 
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
@@ -62,6 +67,39 @@ def test_edge_cases(spark):
     assert result(ngram_join(df, 5, 80)) == brute(rows, 5, 80)
 
 
+def test_links_in_blocks(spark, monkeypatch):
+    """Components cut into blocks, and bundles of small ones, give the links of all pairs."""
+    monkeypatch.setattr(jaccard, "GRAMS", 700)
+    monkeypatch.setattr(jaccard, "LEAST", 1)
+    r = random.Random(8)
+    rows = []
+    for c in range(12):
+        base = [f"c{c}w{i}" for i in range(60)]
+        for _ in range([40, 2, 3, 1][c % 4]):
+            words = list(base)
+            words[r.randrange(60)] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:10])]
+    df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], DOCS)
+    assert result(ngram_join(df, 3, 90)) == brute(rows, 3, 90)
+
+
+def test_common_counts():
+    r = np.random.default_rng(2)
+    left, right = ([np.unique(r.integers(0, 5000, r.integers(0, 900))) for _ in range(n)] for n in (7, 9))
+    assert (jaccard._common(left, right) == [[len(set(a) & set(b)) for b in right] for a in left]).all()
+
+
+def test_hot_gram(spark):
+    """Thousands of near copies: no window, and the session's batches are as before."""
+    base = " ".join(f"w{i}" for i in range(80))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " own"), F.col("id").cast("string")).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = ngram_join(df, 3, 90)
+    assert "Window" not in plan(found) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert found.agg(F.min("n_links"), F.max("n_links"), F.max("component_id")).first() == (3999, 3999, 0)
+
+
 def test_hot_groups(spark):
     copies = [(i, "the same text in a third of all rows") for i in range(3000)]
     others = [(i, f"text number {i} stands alone with word {i * 7}") for i in range(3000, 6000)]
@@ -78,7 +116,7 @@ def test_empty(spark):
 def test_one_of_each(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    want = {d for d, n, first in brute(rows, 5, 80) if n == 0 or d == first}
+    want = {d for d, n, first, _ in brute(rows, 5, 80) if n == 0 or d == first}
     kept = one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
     got = [tuple(r) for r in kept.collect()]
