@@ -1,4 +1,4 @@
-"""Near copies among embeddings: all pairs, or by an inverted multi-index where there are many."""
+"""Near copies among embeddings, by an inverted multi-index."""
 
 from __future__ import annotations
 
@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from ..session import freeze
 from .components import components
 
-CODES = 64  # codes of each half; the grid has their square
+CODES = 256  # codes of each half, at most; the grid has their square
+IN_CELL = 16  # vectors a cell has on average, while the number of codes allows it
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
-BLOCK = 16_384  # vectors compared with all others in one pass
-ALL = 1 << 17  # up to so many distinct vectors, all pairs are compared
-PROBES = 1000  # vectors with true neighbours that it takes to choose how many cells to visit
-VISITS = 64  # cells a vector visits, at most; where more are needed, all pairs are compared
+PROBES = 1000  # vectors on which the number of cells to visit is measured, at most
+MADE = 4  # neighbours made for each of them, at the least cosine
 ROWS = 4096  # vectors of either side compared in one task at once
 
 
@@ -55,272 +54,243 @@ class MultiIndex:
     visits: int = 1
 
     @classmethod
-    def fit(cls, x: np.ndarray) -> MultiIndex:
-        k, half = max(1, min(CODES, len(x) // 4)), x.shape[1] // 2
+    def fit(cls, x: np.ndarray, n: int) -> MultiIndex:
+        """Codebooks for a table of n vectors, from a sample `x` of them."""
+        k, half = max(1, min(CODES, math.isqrt(n // IN_CELL), len(x) // 4)), x.shape[1] // 2
         return cls(_codebook(x[:, :half], k, 1), _codebook(x[:, half:], k, 2))
 
-    def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def cells_in_all(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
         return _apart(x[:, :half], self.first), _apart(x[:, half:], self.second)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = self._halves(x)
+        a, b = self.halves(x)
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The `n` nearest cells of each vector in the order of the multi-sequence.
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of one cell for each vector in its order of cells."""
+        out = []
+        for at in range(0, len(x), 256):
+            a, b = self.halves(x[at : at + 256])
+            sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
+            own = np.take_along_axis(sums, cells[at : at + 256, None], 1)
+            out.append((sums < own).sum(1))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The `visits` nearest cells of each vector in the order of the multi-sequence.
 
         Both lists of codes are sorted by distance. The pair (i, j) of ranks comes after all
         (i', j') below it, so the first n pairs have (i + 1) * (j + 1) <= n; only those are
-        added up and sorted, for all vectors at once.
+        added up, for all vectors at once.
         """
-        a, b = self._halves(x)
+        n, (a, b) = self.visits, self.halves(x)
         oa, ob = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         i, j = np.array([(i, j) for i in range(min(n, a.shape[1])) for j in range(min(n // (i + 1), b.shape[1]))]).T
         sums = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
-        best = sums.argsort(1, kind="stable")[:, :n]
+        best = sums.argpartition(n - 1, axis=1)[:, :n]
         return np.take_along_axis(oa, i[best], 1) * len(self.second) + np.take_along_axis(ob, j[best], 1)
 
 
-def _by_length(batch: pa.RecordBatch):
-    """The batch's vectors of each length, as unit rows, with their nodes."""
-    vectors, node = batch.column("embedding").to_pylist(), batch.column("node").to_numpy()
-    lengths = np.array([len(v) for v in vectors])
-    for length in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == length)
-        yield length, unit([vectors[i] for i in at]), node[at]
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """Unit rows of a batch of vectors of one length."""
+    return unit(batch.column("embedding").to_pylist())
 
 
-def _linked(x: np.ndarray, node: np.ndarray, block: tuple, least: float):
-    """Links of vectors with a block of vectors, 256 rows at a time; none with itself."""
-    other, _, p = block
-    for at in range(0, len(x), 256):
-        i, j = np.nonzero(x[at : at + 256] @ p.T >= least)
-        i += at
-        real = node[i] != other[j]
-        if real.any():
-            yield i[real], j[real]
+def _made_ranks(index: MultiIndex, x: np.ndarray, least: float) -> np.ndarray:
+    """Ranks at which neighbours made at the least cosine, in any direction, would be found."""
+    rng = np.random.default_rng(3)
+    found = []
+    for _ in range(MADE):
+        aside = rng.standard_normal(x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        long = np.sqrt((aside * aside).sum(1, keepdims=True))
+        y = least * x + math.sqrt(max(0, 1 - least * least)) * aside / np.where(long > 0, long, 1)
+        found.append(np.minimum(index.ranks(x, index.cells(y)), index.ranks(y, index.cells(x))))
+    return np.concatenate(found)
 
 
-def _ranks(index, block, least: float):
-    """How many of the neighbours of each vector of a block are in the cells of each rank."""
+def _real_ranks(index, probes, least: float):
+    """How many of the probes' true neighbours are found at each rank; none is its own neighbour."""
 
     def run(batches):
         idx: MultiIndex = index.value
-        own, = block.value.values()  # the index is of one length
-        node, _, p = own
-        total = len(idx.first) * len(idx.second)
-        a, b = idx._halves(p)
+        own, p = probes.value
+        homes, total = idx.cells(p), np.zeros(idx.cells_in_all, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column("embedding").to_pylist())
-            home = idx.cells(x)
-            for i, j in _linked(x, batch.column("node").to_numpy(), own, least):
-                key, n = np.unique(j * total + home[i], return_counts=True)
-                for at in range(0, len(key), 512):
-                    q, c = np.divmod(key[at : at + 512], total)
-                    sums = (a[q][:, :, None] + b[q][:, None, :]).reshape(len(q), total)
-                    rank = (sums <= sums[np.arange(len(q)), c][:, None]).sum(1) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(rank), pa.array(n[at : at + 512])], names=["probe", "rank", "n"])
+            if batch.num_rows:
+                x, node = _vectors(batch), batch.column("node").to_numpy()
+                for at in range(0, len(x), 1024):
+                    i, j = np.nonzero(x[at : at + 1024] @ p.T >= least)
+                    i, j = i[real := node[i + at] != own[j]] + at, j[real]
+                    for s in range(0, len(i), 4096):
+                        a, b = i[s : s + 4096], j[s : s + 4096]
+                        rank = np.minimum(idx.ranks(p[b], idx.cells(x[a])), idx.ranks(x[a], homes[b]))
+                        total += np.bincount(rank, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["rank", "n"])
     return run
 
 
-def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The roots once each a and b are joined; a root is the smallest of its set."""
-    while (root[a] != root[b]).any():
-        ra, rb = root[a], root[b]
-        low = np.minimum(ra, rb)
-        np.minimum.at(root, ra, low)
-        np.minimum.at(root, rb, low)
-        while (root[root] != root).any():
-            root = root[root]
-    return root
+def _needed(counts: np.ndarray, target: float) -> int:
+    """Cells to visit so that `target` of what was counted by rank is found."""
+    if not counts.sum():
+        return 1
+    return int(np.searchsorted(np.cumsum(counts), target * counts.sum() - 1e-9)) + 1
 
 
-def _against(block, least: float):
-    """Links of all vectors with a block of them, every pair compared: sums and labels, never pairs."""
-
-    def run(batches):
-        for batch in batches:
-            for length, x, node in _by_length(batch):
-                if length not in block.value:
-                    continue
-                other, copies, p = block.value[length]
-                links, one = np.zeros(len(x), np.int64), np.full(len(x), -1)
-                root, touched = np.arange(len(p)), np.zeros(len(p), bool)
-                for i, j in _linked(x, node, block.value[length], least):
-                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-                    links[i[starts]] = np.add.reduceat(copies[j], starts)
-                    one[i[starts]] = j[starts]
-                    touched[j] = True
-                    root = _merge(root, one[i], j)
-                m, q = np.flatnonzero(one >= 0), np.flatnonzero(touched)
-                low = np.full(len(p), np.iinfo(np.int64).max)
-                np.minimum.at(low, root[q], other[q])
-                np.minimum.at(low, root[one[m]], node[m])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[node[m], other[q]]), pa.array(np.r_[links[m], np.zeros(len(q), np.int64)]),
-                     pa.array(np.r_[low[root[one[m]]], low[root[q]]])], names=["node", "n", "label"])
-    return run
+def _visits(classes: DataFrame, index: MultiIndex, probes: tuple, least: float, target: float) -> int:
+    """Cells that find `target` of neighbours made at the least cosine and of the probes' true ones."""
+    made = _needed(np.bincount(_made_ranks(index, probes[1], least), minlength=index.cells_in_all), target)
+    sc = classes.sparkSession.sparkContext
+    run = _real_ranks(sc.broadcast(index), sc.broadcast(probes), least)
+    found = classes.select("node", "embedding").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(index.cells_in_all, np.int64)
+    for rank, n in found:  # at most a row for each cell
+        counts[rank] = n
+    return max(made, _needed(counts, target))
 
 
 def _sizes(index):
+    """Members of each first code and queries that visit it."""
+
     def run(batches):
         idx: MultiIndex = index.value
-        own = np.zeros(len(idx.first) * len(idx.second), np.int64)
-        seen = own.copy()
+        own, seen = np.zeros(len(idx.first), np.int64), np.zeros(len(idx.first), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                x = unit(batch.column("embedding").to_pylist())
-                own += np.bincount(idx.cells(x), minlength=len(own))
-                seen += np.bincount(idx.nearest(x, idx.visits).ravel(), minlength=len(own))
-        at = np.flatnonzero(own + seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at]), pa.array(seen[at])], names=["cell", "own", "seen"])
+            for at in range(0, batch.num_rows, 512):
+                x = _vectors(batch.slice(at, 512))
+                own += np.bincount(idx.cells(x) // len(idx.second), minlength=len(own))
+                seen += _visited(idx, x).any(2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own), pa.array(seen)], names=["code", "own", "seen"])
     return run
 
 
-_ROW = "cell long, m int, q int, query boolean, node long, copies long, home long, near array<int>, embedding array<double>"
+def _visited(idx: MultiIndex, x: np.ndarray) -> np.ndarray:
+    """For each vector, first code and second code: whether the vector visits the cell."""
+    out = np.zeros((len(x), idx.cells_in_all), bool)
+    np.put_along_axis(out, idx.nearest(x), True, axis=1)
+    return out.reshape(len(x), len(idx.first), len(idx.second))
+
+
+_ROW = "code int, m int, q int, query boolean, node long, copies long, home int, seen binary, vector binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _deal(index, parts):
-    """Each vector once as a member of its cell and once as a query of each cell it visits."""
+    """Each vector once as a member of its first code and once as a query of each first code it visits."""
 
     def run(batches):
         idx: MultiIndex = index.value
         blocks = parts.value
+        names = [c.split()[0] for c in _ROW.split(", ")]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column("embedding").to_pylist())
-            home, near = idx.cells(x), idx.nearest(x, idx.visits)
-            out = []
-            for i, (node, copies) in enumerate(zip(batch.column("node").to_pylist(), batch.column("copies").to_pylist(), strict=True)):
-                h, v = int(home[i]), x[i].tolist()
-                m_of, q_of, _ = blocks[h]
-                seen = near[i].tolist()
-                out += [(h, node % m_of, q, False, node, copies, h, seen, v) for q in range(q_of)]
-                for c in seen:
-                    m_of, q_of, own = blocks[c]
-                    if own:
-                        out += [(c, m, node % q_of, True, node, copies, h, [], v) for m in range(m_of)]
-            names = [c.split()[0] for c in _ROW.split(", ")]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
-            for at in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 2000], strict=True), kinds, strict=True)], names=names)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = _vectors(part)
+                home, seen = idx.cells(x), np.packbits(_visited(idx, x), axis=2)
+                out = []
+                for i, (node, copies) in enumerate(zip(part.column("node").to_pylist(), part.column("copies").to_pylist(), strict=True)):
+                    h, v = int(home[i]), x[i].tobytes()
+                    own = h // len(idx.second)
+                    m_of, q_of, _ = blocks[own]
+                    out += [(own, node % m_of, q, False, node, copies, h, b"", v) for q in range(q_of)]
+                    for c in np.flatnonzero(seen[i].any(1)).tolist():
+                        m_of, q_of, some = blocks[c]
+                        if some:
+                            mask = seen[i, c].tobytes()
+                            out += [(c, m, node % q_of, True, node, copies, h, mask, v) for m in range(m_of)]
+                for s in range(0, len(out), 4000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[s : s + 4000], strict=True), _KINDS, strict=True)], names=names)
     return run
 
 
-def _compare(least: float):
-    """Links between a block of queries and a block of members of a cell.
+def _compare(index, least: float):
+    """Links between a block of queries and a block of members of a first code.
 
-    A pair counts for the query. It counts for the member too unless the member visits the
-    query's own cell, where it is found once more from the other side.
+    A query meets the members of the cells it visits. A pair counts for the query, and for the
+    member too unless the member visits the query's own cell, where it is found once more from
+    the other side. Sums and one label for each vector are given out, never pairs.
     """
 
     def run(table: pa.Table) -> pa.Table:
+        idx: MultiIndex = index.value
+        table = table.combine_chunks()
         is_query = table.column("query").to_numpy(zero_copy_only=False)
         node, copies, home = (table.column(c).to_numpy() for c in ("node", "copies", "home"))
-        x = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(node), -1)
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(node), -1)
         qs, ms = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        near = [table.column("near")[int(m)].as_py() for m in ms]
-        near = np.array(near, np.int64).reshape(len(ms), -1)
-        links, label = np.zeros(len(node), np.int64), node.copy()
-        pairs = []
-        for at in range(0, len(qs), 512):
-            own = qs[at : at + 512]
-            a, b = np.nonzero(x[own] @ x[ms].T >= least)
-            a, j = own[a], b
-            b = ms[j]
-            other = node[a] != node[b]
-            a, b, j = a[other], b[other], j[other]
-            np.add.at(links, a, copies[b])
-            for s in range(0, len(a), 200_000):
-                part = slice(s, s + 200_000)
-                once = ~(near[j[part]] == home[a[part]][:, None]).any(1)
-                np.add.at(links, b[part][once], copies[a[part]][once])
-            pairs.append((a, b))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(p[side] for p in pairs)]) for side in (0, 1))
-        while len(a):  # smallest node reachable within the block: as many edges as nodes, not as pairs
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
-                break
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-        touched = np.flatnonzero((links > 0) | (label != node))
-        return pa.table({"node": node[touched], "n": links[touched], "label": label[touched]})
+        links, root, touched = np.zeros(len(node), np.int64), np.arange(len(node)), np.zeros(len(node), bool)
+        if len(qs) and len(ms):
+            seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), np.uint8).reshape(len(qs), -1)
+            second = home[ms] % len(idx.second)
+            for code in np.unique(second).tolist():
+                own = ms[second == code]
+                asks = qs[(seen[:, code // 8] >> (7 - code % 8) & 1).astype(bool)]
+                for at in range(0, len(asks), 512):
+                    a, b = np.nonzero(x[asks[at : at + 512]] @ x[own].T >= least)
+                    a, b = asks[at : at + 512][a], own[b]
+                    a, b = a[other := node[a] != node[b]], b[other]
+                    if not len(a):
+                        continue
+                    np.add.at(links, a, copies[b])
+                    met, place = np.unique(b, return_inverse=True)
+                    back = np.concatenate([_visited(idx, x[met[s : s + 512]]).reshape(-1, idx.cells_in_all) for s in range(0, len(met), 512)])
+                    once = ~back[place, home[a]]
+                    np.add.at(links, b[once], copies[a[once]])
+                    touched[a] = touched[b] = True
+                    root = _merge(root, a, b)
+        at = np.flatnonzero(touched)
+        low = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(low, root[at], node[at])
+        return pa.table({"node": node[at], "n": links[at], "label": low[root[at]]})
     return run
 
 
-def _blocks(classes: DataFrame, n: int):
-    """All vectors in blocks of about BLOCK, dealt by hash: by length, their nodes, copies and unit rows."""
-    spark, n_blocks = classes.sparkSession, -(-n // BLOCK)
-    for k in range(n_blocks):
-        rows = classes.where(F.pmod(F.xxhash64("d1", "d2"), F.lit(n_blocks)) == k).select("node", "copies", "embedding").collect()
-        lengths: dict[int, list] = {}
-        for r in rows:
-            lengths.setdefault(len(r[2]), []).append(r)
-        block = {}
-        for length, own in lengths.items():
-            node, copies, x = zip(*own, strict=True)
-            block[length] = np.array(node, np.int64), np.array(copies, np.int64), unit(x)
-        if block:
-            yield spark.sparkContext.broadcast(block)
-
-
-def _visits(classes: DataFrame, n: int, index, least: float, target: float) -> int | None:
-    """How many cells to visit; None where too few vectors have neighbours to tell."""
-    found, drawn, ranks = 0, 0, None
-    for block in _blocks(classes, n):
-        run = _ranks(index, block, least)
-        own = freeze(classes.select("node", "embedding").mapInArrow(run, "probe long, rank long, n long"), "ranks")
-        ranks = own if ranks is None else ranks.union(own)
-        found += own.select("probe").distinct().count()
-        drawn += sum(len(node) for node, _, _ in block.value.values())
-        if found >= PROBES or drawn >= ALL:
-            break
-    if found < PROBES:
-        return None
-    each = ranks.groupBy("probe").agg(F.sum("n").alias("all"))
-    share = ranks.join(each, "probe").groupBy("rank").agg(F.sum(F.col("n") / F.col("all")).alias("n"))
-    left = target * found
-    for rank, n in sorted(tuple(r) for r in share.collect()):  # at most a row for each cell
-        left -= n
-        if left <= 1e-9:
-            break
-    return rank + 1
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots once each a and b are joined; a root is the smallest of its set."""
+    while (root[a] != root[b]).any():
+        ra, rb = root[a], root[b]
+        low = np.minimum(ra, rb)
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _fitted(classes: DataFrame, n: int, least: float, target: float) -> MultiIndex:
+    """The index of n vectors of one length, with the number of cells that a search visits."""
+    taken = classes.orderBy(F.xxhash64("d1"), "d2").limit(SAMPLE).select("node", "embedding").collect()
+    x = unit([r[1] for r in taken])
+    index = MultiIndex.fit(x, n)
+    probes = np.array([r[0] for r in taken[:PROBES]], np.int64), x[:PROBES]
+    index.visits = min(index.cells_in_all, _visits(classes, index, probes, least, target))
+    return index
 
 
 def _links(classes: DataFrame, least: float, target: float) -> DataFrame:
     """node, n and label: parts of each vector's number of links, and nodes it is connected with."""
-    spark, size, found = classes.sparkSession, F.size("embedding"), []
-    lengths = {r[0]: r[1] for r in classes.groupBy(size).count().collect()}  # a row for each length of a vector
-    for length, n in sorted(lengths.items()):
-        if n > ALL:
-            own = classes.where(size == length)
-            taken = own.orderBy(F.xxhash64("d1"), "d2").limit(SAMPLE).select("embedding").collect()
-            index = MultiIndex.fit(unit([r[0] for r in taken]))
-            visits = _visits(own, n, spark.sparkContext.broadcast(index), least, target)
-            if visits is not None and visits <= VISITS:
-                index.visits = visits
-                found.append(_indexed(own, index, least))
-                del lengths[length]
-    if lengths:
-        rest = classes.where(size.isin(list(lengths)))
-        for block in _blocks(rest, sum(lengths.values())):
-            links = rest.select("node", "embedding").mapInArrow(_against(block, least), "node long, n long, label long")
-            found.append(freeze(links, "links"))
+    size, found = F.size("embedding"), []
+    lengths = [tuple(r) for r in classes.groupBy(size).count().collect()]  # a row for each length of a vector
+    for length, n in sorted(lengths):
+        own = classes.where(size == length)
+        found.append(_indexed(own, _fitted(own, n, least, target), least))
     return reduce(DataFrame.union, found)
 
 
 def _indexed(classes: DataFrame, index: MultiIndex, least: float) -> DataFrame:
     spark = classes.sparkSession
     sent = spark.sparkContext.broadcast(index)
-    sizes = classes.select("embedding").mapInArrow(_sizes(sent), "cell long, own long, seen long").groupBy("cell").agg(
-        F.sum("own").alias("own"), F.sum("seen").alias("seen")).collect()  # at most a row for each cell
-    blocks = {r["cell"]: (-(-r["own"] // ROWS) or 1, -(-r["seen"] // ROWS) or 1, r["own"]) for r in sizes}
+    sizes = classes.select("embedding").mapInArrow(_sizes(sent), "code long, own long, seen long").groupBy("code").agg(
+        F.sum("own").alias("own"), F.sum("seen").alias("seen")).collect()  # a row for each first code
+    blocks = {r["code"]: (-(-r["own"] // ROWS) or 1, -(-r["seen"] // ROWS) or 1, r["own"]) for r in sizes}
     dealt = classes.select("node", "copies", "embedding").mapInArrow(_deal(sent, spark.sparkContext.broadcast(blocks)), _ROW)
-    return freeze(dealt.groupBy("cell", "m", "q").applyInArrow(_compare(least), "node long, n long, label long"), "links")
+    return freeze(dealt.groupBy("code", "m", "q").applyInArrow(_compare(sent, least), "node long, n long, label long"), "links")
 
 
 def near_copies(vectors: DataFrame, least: float = 0.9, target: float = 0.99) -> DataFrame:
@@ -334,16 +304,14 @@ def near_copies(vectors: DataFrame, least: float = 0.9, target: float = 0.99) ->
     An empty table gives an empty one.
 
     Equal vectors are one with a number of copies, and every link is verified in double precision.
-    Up to ALL distinct vectors of a length, all pairs are compared, a block of vectors with all others in each
-    pass, and no link is lost. Above, codebooks for the length are fitted on at most SAMPLE vectors and all
-    are indexed. How many cells to visit is measured: blocks of vectors are compared with all
-    others until PROBES of them have neighbours besides themselves; the first cells of the
-    multi-sequence that hold `target` of a vector's neighbours, on average over those, are
-    visited. Where that takes more than VISITS cells, or ALL vectors were drawn and too few have
-    neighbours, all pairs are compared as well: work that grows with the square of the vectors.
-    A pair is found if either side visits the other's cell. Cells of many vectors are compared
-    block by block, each block in a task of its own, and give sums and one label for each
-    vector, never pairs.
+    For each length, codebooks of both halves are fitted on at most SAMPLE vectors and all vectors
+    are indexed, however few or many. A search takes cells in the order of the multi-sequence until `target`
+    of the neighbours should be found. How many cells that takes is measured on PROBES vectors: with MADE
+    neighbours of each, made at exactly the least cosine, where they are farthest, in directions of
+    all kinds, and with their true neighbours among all vectors; the larger number holds. Where data have no
+    structure, that can be all cells, and every pair is compared.
+    A pair is found if either side visits the other's cell. First codes of many vectors or visitors are
+    compared block by block, each two blocks in a task of their own.
     """
     v = F.col("embedding")
     usable = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists(v, lambda x: x != 0)
