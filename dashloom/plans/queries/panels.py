@@ -9,6 +9,7 @@ from ...operators.filters import Filter
 from ...session import new_path
 from ...sources.rollups import daily_rollup, write_rollup
 from ...sources.tables import table
+from ..dashboard import Dashboard, Tile, run_dashboard
 from ..panel import Join, Panel, run_panel
 from ..registry import query
 from .sql import NET_PRICE, ORDER_TOTAL, REVENUE, VALUE_TOTAL
@@ -97,3 +98,32 @@ def weeks_from_rollup(spark, sf_dir):
         filters=(Filter("day", "between", (datetime(2024, 1, 8).date(), None)),),
         measures={"n": F.sum("n"), "value": F.sum("value")}))
     return found.withColumn("value", from_cents("value"))
+
+
+_FACT = """
+with f as (select * from lineitem join orders on l_orderkey = o_orderkey
+             join customer on o_custkey = c_custkey where l_shipdate >= timestamp '1997-01-01')"""
+_TILE = f"count(*) as n, {REVENUE} as revenue"
+
+
+@query("run_dashboard", f"""{_FACT}
+select 'totals' as tile, 0::bigint as level, null as c_mktsegment, null as l_returnflag,
+       null as l_linestatus, null as o_orderpriority, {_TILE} from f
+union all select 'returned', 0, c_mktsegment, null, null, null, {_TILE} from f
+  where l_returnflag = 'R' and l_quantity >= 10 group by c_mktsegment
+union all select 'drill', cast(grouping(l_returnflag, l_linestatus) as bigint), null, l_returnflag,
+       l_linestatus, null, {_TILE} from f group by rollup (l_returnflag, l_linestatus)
+union all select 'l_returnflag', 0, null, l_returnflag, null, null, {_TILE} from f group by l_returnflag
+union all select 'o_orderpriority', 0, null, null, null, o_orderpriority, {_TILE} from f
+  group by o_orderpriority""")
+def sales_dashboard(spark, sf_dir):
+    return run_dashboard(spark, sf_dir, Dashboard(
+        source="lineitem",
+        joins=(Join("orders", "l_orderkey", "o_orderkey"), Join("customer", "o_custkey", "c_custkey")),
+        filters=(Filter("l_shipdate", "between", (datetime(1997, 1, 1), None)),),
+        measures={"n": rows(), "revenue": revenue()},
+        tiles=(Tile("totals"),
+               Tile("returned", ("c_mktsegment",), (Filter("l_returnflag", "eq", "R"), Filter("big", "eq", True))),
+               Tile("drill", ("l_returnflag", "l_linestatus"), subtotals=True)),
+        derived={"big": F.col("l_quantity") >= 10},
+        facets=("l_returnflag", "o_orderpriority")))
