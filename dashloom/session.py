@@ -52,6 +52,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(found) and fs.getFileStatus(found).isDirectory()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all in it, if it is there."""
+    fs, found = _locate(spark, path)
+    fs.delete(found, True)
+
+
 def own_dir(spark: SparkSession) -> str:
     """The folder in the shared folder that belongs to this application."""
     return f"{shared_dir(spark).rstrip('/')}/dashloom-{spark.sparkContext.applicationId}"
@@ -64,8 +70,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete the application's folder, once none of its results is needed any more."""
-    fs, found = _locate(spark, own_dir(spark))
-    fs.delete(found, True)
+    delete(spark, own_dir(spark))
 
 
 def freeze(df: DataFrame, name: str = "table") -> DataFrame:
