@@ -55,6 +55,21 @@ def truncate(time: str | Column, grain: str) -> Column:
     raise ValueError(f"unknown grain {grain!r}; one of {GRAINS}")
 
 
+def as_instant(time: Column) -> Column:
+    """A local time as the instant at which clocks in UTC show it, in any session time zone."""
+    day = F.unix_date(F.to_date(time)).cast("bigint") * F.lit(86_400)
+    whole = day + F.hour(time) * F.lit(3600) + F.minute(time) * F.lit(60)
+    part = (F.extract(F.lit("SECOND"), time) * F.lit(1_000_000)).cast("bigint")
+    return F.timestamp_micros(whole * F.lit(1_000_000) + part)
+
+
+def as_local(instant: Column) -> Column:
+    """What clocks in UTC show at an instant, as `timestamp_ntz`, in any session time zone."""
+    zero, micros = F.lit(0), F.unix_micros(instant)
+    part = (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, part)
+
+
 def seconds(df: DataFrame, time: str) -> Column:
     """Whole seconds since 1970 of a date or timestamp column, as bigint."""
     t, kind = F.col(time), df.schema[time].dataType

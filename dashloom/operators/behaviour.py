@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grain import time_bucket
 
@@ -43,21 +43,47 @@ def sessions(df: DataFrame, user: str, time: str, gap: timedelta,
 
 
 def funnel_times(df: DataFrame, user: str, time: str, kind: str,
-                 steps: Sequence[str]) -> DataFrame:
+                 steps: Sequence[str], bucket: timedelta = timedelta(hours=1)) -> DataFrame:
     """Per user that did the first step: the time each step was reached, t1, t2, ...
 
-    A step counts at its first event after the step before was reached. Each step
-    is a minimum per user over the events of its type that come after; nothing
-    collects the events of a user. One side of each join has one row per user; adaptive
-    execution splits the other where a user is busy.
+    A step counts at its first event after the step before was reached. The events are read
+    once, for any number of steps. Those of a user in one time bucket become one transition: for each step a user
+    may have reached before, the step after the bucket and the times of those between. Transitions
+    of a user follow each other, a row for each bucket with events: as many as buckets fit into the
+    time range, however busy the user is. A task holds the events of one user's bucket at most;
+    `bucket` is a second or more. Rows without a user or a time do not count.
     """
-    df = df.filter(F.col(user).isNotNull())
-    times = [df.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(time).alias("t1"))]
-    for i, step in enumerate(steps[1:], start=2):
-        events = df.filter(F.col(kind) == step).select(user, F.col(time).alias("_t"))
-        later = events.join(times[-1], user).filter(F.col("_t") > F.col(f"t{i - 1}"))
-        times.append(later.groupBy(user).agg(F.min("_t").alias(f"t{i}")))
-    return reduce(lambda a, b: a.join(b, user, "left"), times)
+    width = bucket // timedelta(seconds=1)
+    if width < 1:
+        raise ValueError("the bucket must be at least one second")
+    n, at = len(steps), df.schema[time].dataType
+    none = F.array().cast(T.ArrayType(at))
+    fits = F.array(*[F.col(kind).eqNullSafe(F.lit(s)) for s in steps])
+    events = (df.filter(F.col(user).isNotNull() & F.col(time).isNotNull() & F.col(kind).isin(list(steps)))
+              .select(user, time_bucket(df, time, width).alias("_bucket"), F.struct(F.col(time).alias("t"), fits.alias("fits")).alias("_e")))
+
+    def later(state: Column, event: Column) -> Column:
+        """The state after an event: one step on if it is the next step's and after the last."""
+        after = (F.size(state["times"]) == 0) | (event["t"] > F.element_at(state["times"], -1))
+        next_step = (state["step"] < n) & F.get(event["fits"], state["step"]) & after
+        return F.when(F.coalesce(next_step, F.lit(False)), F.struct(
+            (state["step"] + 1).alias("step"), F.concat(state["times"], F.array(event["t"])).alias("times"))).otherwise(state)
+
+    start = F.array(*[F.struct(F.lit(i).alias("step"), none.alias("times")) for i in range(n)])
+    in_bucket = F.aggregate(F.array_sort("_events"), start, lambda states, e: F.transform(states, lambda s: later(s, e)))
+    moves = events.groupBy(user, "_bucket").agg(F.collect_list("_e").alias("_events")).select(user, "_bucket", in_bucket.alias("_move"))
+    # A transition in which nobody gets on is left out before the second shuffle.
+    moves = moves.filter(F.exists("_move", lambda s: F.size(s["times"]) > 0))
+    one = F.struct(F.lit(0).alias("step"), none.alias("times"))
+
+    def follow(state: Column, move: Column) -> Column:
+        done = F.get(move["_move"], state["step"])
+        return F.when(state["step"] >= n, state).otherwise(F.struct(
+            done["step"].alias("step"), F.concat(state["times"], done["times"]).alias("times")))
+
+    chain = F.array_sort(F.collect_list(F.struct("_bucket", "_move")))
+    found = moves.groupBy(user).agg(chain.alias("_moves")).select(user, F.aggregate("_moves", one, follow)["times"].alias("_times"))
+    return found.filter(F.size("_times") > 0).select(user, *[F.get("_times", F.lit(i)).alias(f"t{i + 1}") for i in range(n)])
 
 
 def funnel(df: DataFrame, user: str, time: str, kind: str, steps: Sequence[str]) -> DataFrame:

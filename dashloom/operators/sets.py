@@ -24,11 +24,25 @@ def period_diff(a: DataFrame, b: DataFrame, key: str, measure: Column) -> DataFr
                        status.alias("status"))
 
 
+COPIES = 1 << 16  # copies of a row given out by one task at once
+
+
+def _left_over(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a less as many copies as b has, by counts that are combined before the shuffle."""
+    n = F.sum("_n").alias("_n")
+    counted = a.withColumn("_n", F.lit(1)).union(b.withColumn("_n", F.lit(-1))).groupBy(*a.columns).agg(n)
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES))
+    dealt = counted.filter("_n > 0").withColumn("_part", F.explode(parts)).hint("rebalance")
+    copies = F.least(F.lit(COPIES).cast("bigint"), F.col("_n") - F.col("_part") * COPIES)
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*a.columns)
+
+
 def members(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """Rows in both, in either, only in a, or only in a counting copies.
 
     op is one of: both, either, only_first, only_first_all. Copies are dropped
-    before the two sides meet, so a row with very many copies is no burden.
+    or counted before the two sides meet, and those left over are given out by many tasks, so a
+    row with very many copies is no burden. Columns are matched by place.
     """
     if op == "both":
         return a.distinct().intersect(b.distinct())
@@ -37,7 +51,7 @@ def members(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     if op == "only_first":
         return a.distinct().subtract(b.distinct())
     if op == "only_first_all":
-        return a.exceptAll(b)
+        return _left_over(a, b)
     raise ValueError(f"unknown op {op!r}")
 
 

@@ -216,15 +216,16 @@ def line_spread(spark, sf_dir):
                                           for c in ("stddev_a", "stddev_b", "correlation")])
 
 
-@query("json_matrix", """
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("json_matrix", f"""
 select cast(json_extract_string(props, '$.k') as bigint) as k,
-       count(*) filter (event_type = 'click') as click,
-       count(*) filter (event_type = 'purchase') as purchase
+       {', '.join(f"count(*) filter (event_type = '{t}') as {t}" for t in _TYPES)}
 from events group by all""")
 def json_by_type(spark, sf_dir):
     events = json_dim(table(spark, sf_dir, "events"), "props", "$.k", "bigint")
-    found = A.matrix(events, ["k"], "event_type", ["click", "purchase"], rows())
-    return found.fillna(0, ["click", "purchase"])
+    return A.matrix(events, ["k"], "event_type", _TYPES, rows()).fillna(0, _TYPES)
 
 
 @query("star_subtotals", f"""

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.grain import as_local
 from ...functions.measures import cents, from_cents, rows, total
 from ...operators.aggregates import breakdown
+from ...session import new_path
 from ...sources.tables import event_stream, table
 from ...streaming import live as L
 from ..registry import query
@@ -100,5 +102,22 @@ def live_click_then_buy(spark, sf_dir):
         F.col("event_id").alias("buy_id"), "user_id", F.col("ts").alias("buy_ts"))
     pairs = L.drain(L.live_within(clicks, buys, "user_id", "click_ts", "buy_ts", "1 hour",
                                   "1 hour"))
-    return pairs.select("user_id", "click_id", F.col("click_ts").cast("timestamp_ntz"),
-                        "buy_id", F.col("buy_ts").cast("timestamp_ntz"))
+    return pairs.select("user_id", "click_id", as_local(F.col("click_ts")).alias("click_ts"),
+                        "buy_id", as_local(F.col("buy_ts")).alias("buy_ts"))
+
+
+@query("late_dropped", "select count(*) as n_late from events where ts < timestamp '2024-01-10'")
+def late_events(spark, sf_dir):
+    """Events of the first days come in after the last days' were seen: all are late."""
+    events, path = table(spark, sf_dir, "events"), new_path(spark, "late")
+    for part in ("ts >= timestamp_ntz'2024-01-20' and ts < timestamp_ntz'2024-01-25'", "ts >= timestamp_ntz'2024-01-25'",
+                 "ts < timestamp_ntz'2024-01-10'"):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/events")  # a file is a batch
+    stream = event_stream(spark, f"{path}/events", "*.parquet", max_files=1)
+    with L.LateRows(spark) as late:
+        seen = L.live_dedup(stream, "ts", ["event_id"], "1 hour", salts=1)
+        run = (seen.writeStream.format("parquet").option("path", f"{path}/out")
+               .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+        run.awaitTermination()
+        n = late.total(run)
+    return spark.createDataFrame([(n,)], "n_late long")

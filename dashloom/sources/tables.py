@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.grain import as_instant
 from ..session import is_folder
 
 # Given, so that building a panel starts no job that looks them up.
@@ -55,8 +57,8 @@ def event_stream(
     """Stream of events from parquet files in a folder.
 
     `files` may be one file, a folder of part files, or a pattern such as
-    `*.parquet`. Watermarks need a time with a zone, so `time` becomes `timestamp`;
-    the live panels turn it back into `timestamp_ntz`.
+    `*.parquet`. Watermarks need a time with a zone, so a `time` without one becomes the
+    instant at which UTC shows it, whatever the session's zone; the live panels turn it back.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -66,4 +68,7 @@ def event_stream(
         sf_dir = f"{sf_dir}/{files}"
     else:
         reader = reader.option("pathGlobFilter", files)
-    return reader.parquet(sf_dir).withColumn(time, F.col(time).cast("timestamp"))
+    events = reader.parquet(sf_dir)
+    if isinstance(events.schema[time].dataType, T.TimestampNTZType):
+        events = events.withColumn(time, as_instant(F.col(time)))
+    return events

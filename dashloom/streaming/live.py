@@ -6,20 +6,22 @@ watermark, the latest event time seen less `delay`.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from threading import Event
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions.grain import as_local
 from ..session import new_path
 
 
 def _bounds(windowed: DataFrame, col: str, start: str, end: str) -> DataFrame:
     rest = [c for c in windowed.columns if c != col]
     return windowed.select(
-        F.col(f"{col}.start").cast("timestamp_ntz").alias(start),
-        F.col(f"{col}.end").cast("timestamp_ntz").alias(end), *rest)
+        as_local(F.col(f"{col}.start")).alias(start), as_local(F.col(f"{col}.end")).alias(end), *rest)
 
 
 def live_series(stream: DataFrame, time: str, size: str, delay: str,
@@ -113,12 +115,52 @@ def late_dropped(query: StreamingQuery) -> int:
     """Rows dropped as late so far.
 
     Spark counts them after partial aggregation, so this is a sign of late data
-    and not the number of late events.
+    and not the number of late events. A query keeps its last progress records only (100 by
+    default); `LateRows` counts over all of them.
     """
     return sum(op["numRowsDroppedByWatermark"]
                for p in query.recentProgress for op in p["stateOperators"])
 
 
+class LateRows(StreamingQueryListener):
+    """Adds up the late rows of every progress record of every query, from when it is registered.
+
+    `with LateRows(spark) as late: ...; late.total(query)`. Counts are those of `late_dropped`, but
+    none is forgotten however long the query runs.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped, self.batches, self.ended = spark, Counter(), Counter(), {}
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.ended[str(event.runId)] = Event()
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.batches[run] += 1
+        self.dropped[run] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def total(self, query: StreamingQuery, wait: float = 60) -> int:
+        """Late rows of this run of the query; where it has ended, once all its records have come in."""
+        run = str(query.runId)
+        if not query.isActive and not self.ended.setdefault(run, Event()).wait(wait):
+            raise TimeoutError("the end of the query has not been reported")
+        return self.dropped[run]
+
+
 def drain(stream: DataFrame, mode: str = "append", name: str = "live") -> DataFrame:
     """Run a stream over the input there is now and return what it wrote."""
     spark = stream.sparkSession
