@@ -7,7 +7,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ REMEMBERED = 1 << 18  # pieces remembered in one Python worker; then it starts a
 LONG = 1 << 20  # texts of more characters are matched and encoded a block of pieces at a time
 BLOCK = 1 << 16  # pieces in such a block
 ROWS = 256  # texts encoded or decoded at once
+SHORT = 64  # pieces of at most so many bytes are merged many at once
+TREES = 8192  # of them at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,33 +131,118 @@ class Splitter:
             yield block
 
 
+class Forest:
+    """The merges of many short pieces at once: a segment tree for each, one merge of each a round.
+
+    The trees are those of `merge`, rows of one array; a pair is known by the ids of its two
+    tokens, and its rank is the id of what they make.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as 32-bit numbers."""
+        n = np.array([len(p) for p in pieces])
+        bits = max(1, int(n.max() - 1).bit_length())
+        size, none = 1 << bits, np.int64(1) << 62
+        data = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(-1, size)
+        token, place = self.byte[data], np.arange(size)
+        inside = place < n[:, None]
+        after, before = np.tile(place + 1, (len(n), 1)), np.tile(place - 1, (len(n), 1))
+        tree = np.full((len(n), 2 * size), none)
+        rank = self._rank(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(len(n), size - 1)
+        known = (rank >= 0) & inside[:, 1:]
+        tree[:, size : 2 * size - 1][known] = (rank << bits | place[:-1])[known]
+        for at in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * at], tree[:, 2 * at + 1], out=tree[:, at])
+
+        def put(row, at, key):
+            at = at + size
+            tree[row, at] = key
+            for _ in range(bits):
+                at >>= 1
+                tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+
+        while len(row := np.flatnonzero(tree[:, 1] < none)):
+            best = tree[row, 1]
+            i = best & (size - 1)
+            j = after[row, i]
+            k = after[row, j]
+            after[row, i], token[row, i] = k, best >> bits
+            inside[row, j] = False
+            put(row, j, none)
+            more = k < n[row]
+            r, here, there = row[more], i[more], k[more]
+            before[r, there] = here
+            rank = self._rank(token[r, here], token[r, there])
+            put(r, here, np.where(rank >= 0, rank << bits | here, none))
+            put(row[~more], i[~more], none)
+            p = before[row, i]
+            r, first, second = row[p >= 0], p[p >= 0], i[p >= 0]
+            rank = self._rank(token[r, first], token[r, second])
+            put(r, first, np.where(rank >= 0, rank << bits | first, none))
+        ids, ends = token[inside].astype(np.int32).tobytes(), np.cumsum(inside.sum(1) * 4).tolist()
+        return [ids[first:end] for first, end in zip([0, *ends], ends, strict=False)]
+
+
 class Encoder:
     """Ids of whole texts, for one file of ranks and one pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.splitter = read_ranks(path), Splitter(pattern)
+        self.forest = Forest(self.ranks)
         self.known: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = merge(self.ranks, raw) if whole is None else [whole]
-        return array.array("i", ids).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The text's ids as 32-bit numbers; a null or empty text has none."""
-        known, out = self.known, []
-        for pieces in self.splitter.pieces(text or ""):
-            try:
-                out.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for p in pieces:
-                    if p not in known:
-                        known[p] = self._piece(p)
-                out.append(b"".join([known[p] for p in pieces]))
-        return b"".join(out)
+    def _learn(self, new: set[str]) -> None:
+        """The ids of pieces not yet known; pieces of like length are merged together."""
+        like: dict[int, tuple[list[str], list[bytes]]] = {}
+        for piece in new:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None or len(raw) > SHORT:
+                self.known[piece] = array.array("i", merge(self.ranks, raw) if whole is None else [whole]).tobytes()
+            else:
+                names, raws = like.setdefault((len(raw) - 1).bit_length(), ([], []))
+                names.append(piece)
+                raws.append(raw)
+        for names, raws in like.values():
+            for at in range(0, len(names), TREES):
+                self.known.update(zip(names[at : at + TREES], self.forest.merged(raws[at : at + TREES]), strict=True))
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of some lists of pieces; all their new pieces are learnt first."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := set().union(*lists) - self.known.keys():
+            self._learn(new)
+        known = self.known
+        return [b"".join([known[p] for p in pieces]) for pieces in lists]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The texts' ids as 32-bit numbers; a null or empty text has none."""
+        out: list[bytes] = [b""] * len(texts)
+        usual = [i for i, t in enumerate(texts) if t and len(t) <= LONG]
+        lists = [list(chain.from_iterable(self.splitter.pieces(texts[i]))) for i in usual]
+        for i, ids in zip(usual, self._ids(lists), strict=True):
+            out[i] = ids
+        for i, t in enumerate(texts):
+            if t and len(t) > LONG:
+                out[i] = b"".join([b"".join(self._ids([block])) for block in self.splitter.pieces(t)])
+        return out
 
 
 class Decoder:
@@ -200,7 +287,7 @@ def _encode(path: str, pattern: str):
     def run(batches):
         own = encoder(path, pattern)
         for batch in small(batches, ROWS):
-            rows = [own.encode(t) for t in batch.column("text").to_pylist()]
+            rows = own.encode(batch.column("text").to_pylist())
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])

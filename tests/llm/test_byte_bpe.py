@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -51,12 +52,13 @@ def test_odd_texts(spark, library):
 
 def test_long_texts_in_blocks(library, monkeypatch):
     own = byte_bpe.Encoder(FILE, public_tokenizers.PATTERN)
-    text = "".join(R.choice(["word", " other", "\n\n", "  ", "123", "é", "日本"]) for _ in range(4000))
-    whole = own.encode(text)
-    for name, value in (("LONG", 100), ("BLOCK", 7), ("REMEMBERED", 3)):
+    text = "".join(R.choice(["word", " other", "\n\n", "  ", "123", "é", "日本", "x" * 90, " unheard-of"]) for _ in range(4000))
+    whole = own.encode([text, None, "", text[:50]])
+    assert np.frombuffer(whole[0], np.int32).tolist() == library.encode_ordinary(text) and whole[1] == whole[2] == b""
+    for name, value in (("LONG", 100), ("BLOCK", 7), ("REMEMBERED", 3), ("TREES", 5)):
         monkeypatch.setattr(byte_bpe, name, value)
     own.known.clear()
-    assert own.encode(text) == whole
+    assert own.encode([text, None, "", text[:50]]) == whole
 
 
 def test_merge_is_the_simple_one():
@@ -64,13 +66,17 @@ def test_merge_is_the_simple_one():
     ranks = {bytes([b]): b for b in range(256)}
     for i in range(400):
         ranks.setdefault(bytes(R.choice(b"abc") for _ in range(R.randrange(2, 6))), 256 + i)
+    want = {}
     for _ in range(500):
         piece = bytes(R.choice(b"abc") for _ in range(R.randrange(1, 40)))
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
             _, i = min(pairs)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert byte_bpe.merge(ranks, piece) == [ranks[p] for p in parts]
+        want[piece] = [ranks[p] for p in parts]
+        assert byte_bpe.merge(ranks, piece) == want[piece]
+    got = byte_bpe.Forest(ranks).merged(list(want))
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == list(want.values())
 
 
 def test_ids_that_cannot_be_decoded(spark):
