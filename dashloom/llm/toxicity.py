@@ -1,9 +1,8 @@
-"""Toxicity by compression distance: words compressed with a toxic and an ordinary dictionary."""
+"""Toxicity by compression distance: windows compressed with a toxic and an ordinary dictionary."""
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +11,15 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from .fit import Logistic
 from .words import small
 
 SAMPLE = 16_000  # labelled documents used at most: those with the smallest hash of their id
-GRAM = 5  # characters; toxic windows are words with a run that toxic documents have far more often
-TOXIC_BYTES, ORDINARY_BYTES = 4096, 32768
-WINDOWS = 100_000  # windows that train a dictionary, at most
+TOXIC_BYTES, ORDINARY_BYTES = 8192, 65536
+ROUNDS = 3  # times that the toxic windows are chosen anew
+SHARE = 0.995  # of ordinary windows that a toxic one must be farther than
+CALIBRATION = 5  # one part in so many of the sample calibrates, the others train
 TOP = 4  # distances of a document that are looked at
 _WORDS = 1 << 19  # windows remembered in one Python worker
 
@@ -33,17 +34,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _grams(text: str) -> set[str]:
-    return {p[k : k + GRAM] for w in set(text.lower().split()) for p in (f" {w} ",) for k in range(len(p) - GRAM + 1)}
+def windows(text: str | None) -> set[str]:
+    """The windows of a whole text: its distinct lower-case words, whatever its label."""
+    return set((text or "").lower().split())
 
 
-def _window(words: str) -> bytes:
-    return f" {words} ".encode("utf-8", "surrogatepass")
+def _window(word: str) -> bytes:
+    return f" {word} ".encode("utf-8", "surrogatepass")
 
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=16, search_log=6, min_match=4, target_length=64,
+        window_log=18, hash_log=16, chain_log=17, search_log=6, min_match=3, target_length=64,
         strategy=zstd.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False, write_checksum=False,
     )
     dictionary = zstd.ZstdCompressionDict(content + _FRAME, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -51,14 +53,6 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(compression_params=params, dict_data=dictionary)
 
 
-def train(windows: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the windows; of very few windows, their text itself."""
-    try:
-        return zstd.train_dictionary(size, windows).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(sorted(set(windows)))[:size]
-
-
 class Distance:
     """Bytes that a window takes more with the ordinary dictionary than with the toxic one."""
 
@@ -71,8 +65,8 @@ class Distance:
         return len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
 
     def features(self, text: str | None) -> list[float]:
-        """The largest distances of the text's distinct words, and how many words it has."""
-        words = set((text or "").lower().split())
+        """The largest and the mean distance of the text's windows, and how many it has."""
+        words = windows(text)
         known = self.known
         new = [w for w in words if w not in known]
         if new:
@@ -81,8 +75,8 @@ class Distance:
                 new = list(words)
             for w in new:
                 known[w] = self.of(w)
-        top = sorted(map(known.__getitem__, words), reverse=True)[:TOP]
-        return [*top, *[0] * (TOP - len(top)), float(np.log1p(len(words)))]
+        far = sorted(map(known.__getitem__, words), reverse=True)
+        return [*far[:TOP], *[0] * (TOP - len(far)), sum(far) / max(1, len(far)), float(np.log1p(len(words)))]
 
 
 _READY: dict[int, Distance] = {}
@@ -106,86 +100,118 @@ class Model:
         if self.calibrated is None:
             return np.full(len(texts), self.share)
         d = self.distance()
-        return self.calibrated.score(np.array([d.features(t) for t in texts], float).reshape(len(texts), TOP + 1))
+        return self.calibrated.score(np.array([d.features(t) for t in texts], float).reshape(len(texts), TOP + 2))
 
 
-def _count_grams(batches):
-    toxic, ordinary = Counter(), Counter()
-    n = [0, 0]
+def _count_windows(batches):
+    """How many documents of each label have a window, by half."""
+    counts: dict[tuple[int, str], list[int]] = {}
     for batch in small(batches):
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            (toxic if label else ordinary).update(_grams(text or ""))
-            n[label] += 1
-    toxic[""], ordinary[""] = n[1], n[0]
-    grams = list(toxic)  # a run that only ordinary documents of this task have decides nothing by itself
-    grams += [g for g in ordinary if g not in toxic]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(grams, pa.string()), pa.array([toxic[g] for g in grams], pa.int64()), pa.array([ordinary[g] for g in grams], pa.int64())],
-        names=["gram", "toxic", "ordinary"],
-    )
+        for text, label, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
+            for w in windows(text):
+                counts.setdefault((half, w), [0, 0])[label] += 1
+        if len(counts) > _WORDS:  # merged by Spark anyway
+            yield _counted(counts)
+            counts = {}
+    yield _counted(counts)
+
+
+def _counted(counts: dict) -> pa.RecordBatch:
+    halves, words = zip(*counts, strict=True) if counts else ((), ())
+    ordinary, toxic = zip(*counts.values(), strict=True) if counts else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(halves, pa.int32()), pa.array(words, pa.string()), pa.array(toxic, pa.int64()), pa.array(ordinary, pa.int64())],
+                                      names=["half", "word", "toxic", "ordinary"])
+
+
+def _dictionary(counted: DataFrame, label: str, size: int) -> bytes:
+    """The windows that most documents of a label have, as many as fit, the most frequent last, where they are cheapest to refer to."""
+    # A window takes two bytes at least, so no more than size / 2 fit.
+    found = counted.where(F.col(label) > 0).groupBy("word").agg(F.sum(label).alias("n")).orderBy(F.desc("n"), "word").limit(size // 2).collect()
+    out, room = [], size
+    for r in found:
+        raw = _window(r["word"])
+        if len(raw) > room:
+            break
+        out.append(raw)
+        room -= len(raw)
+    return b"".join(reversed(out))
+
+
+def _distances(pairs: list[tuple[bytes, bytes]]):
+    """Each window's distance by the dictionaries that the other half trained."""
 
-
-def _windows(hot: set[str]):
     def run(batches):
-        for batch in small(batches):
-            kinds, windows = [], []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = (text or "").lower().split()
-                if label:
-                    own = [w for w in words if any(f" {w} "[k : k + GRAM] in hot for k in range(len(w) + 3 - GRAM))]
-                else:
-                    step = max(1, len(words) // 20)
-                    own = [" ".join(words[k : k + 8]) for k in range(0, len(words), step)][:20]
-                kinds += [label] * len(own)
-                windows += own
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(windows, pa.string())], names=["toxic", "words"])
+        own = [Distance(*p) for p in pairs]
+        for batch in batches:
+            far = [own[1 - h].of(w) for h, w in zip(batch.column("half").to_pylist(), batch.column("word").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far, pa.int32())], names=[*batch.schema.names, "far"])
     return run
 
 
+def _chosen(counted: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """The windows that are toxic by distance: (half, word, toxic).
+
+    At first all windows of toxic documents count. In each round the dictionaries of one
+    half measure the windows of the other; of those in toxic documents the ones stay that are
+    farther than SHARE of the windows of ordinary documents. No list of words takes part.
+    """
+    halves = [counted.where(F.col("half") == h) for h in (0, 1)]
+    ordinary = [_dictionary(own, "ordinary", size[1]) for own in halves]
+    kept = counted.where("toxic > 0").select("half", "word", "toxic")
+    for _ in range(ROUNDS):
+        pairs = [(_dictionary(kept.where(F.col("half") == h), "toxic", size[0]), ordinary[h]) for h in (0, 1)]
+        far = freeze(counted.mapInArrow(_distances(pairs), "half int, word string, toxic long, ordinary long, far int"), "far")
+        histogram = far.where("ordinary > 0").groupBy("half", "far").agg(F.sum("ordinary").alias("n")).collect()  # a row for each whole distance
+        cuts = []
+        for h in (0, 1):
+            own = sorted((r["far"], r["n"]) for r in histogram if r["half"] == h)
+            upto = np.cumsum([n for _, n in own])
+            cuts.append(own[int(np.searchsorted(upto, SHARE * upto[-1]))][0] if own else 0)
+        # Unlike enough to all that is ordinary, and to be paid for by the toxic dictionary.
+        enough = F.col("far") > F.greatest(F.when(F.col("half") == 0, cuts[0]).otherwise(cuts[1]), F.lit(0))
+        better = far.where((F.col("toxic") > 0) & enough).select("half", "word", "toxic")
+        if better.isEmpty():
+            break
+        kept = better
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Dictionaries from one half of the labelled sample, calibration from the other.
+    """Dictionaries from most of the labelled sample, calibration from the rest.
 
     Labels of held-out documents, null labels and null ids are left out; of a doc_id with
-    several labels the largest counts. Toxic windows are the words with a run of GRAM
-    characters that at least 3 (and 1 %) of the toxic documents and far fewer of the ordinary ones
-    have; ordinary windows are spread over the ordinary documents.
+    several labels the largest counts. All windows of the sample's whole texts are used, of
+    both kinds alike. The training part has two halves by hash: the dictionaries of each tell which
+    windows of the other are toxic, by distance alone (`_chosen`). What is chosen in both makes
+    the toxic dictionary, the most frequent windows of the ordinary documents the other one.
+    To the driver come the windows that fill a dictionary and the features of the part that calibrates.
     """
     known = (
         labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # At most `sample` rows of two numbers.
-    both = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(2)))
-    both = both.select("text", "toxic", "half").dropDuplicates(["text", "toxic"]).persist()
-    try:
-        first = both.where("half = 0").select("text", "toxic")
-        counted = first.mapInArrow(_count_grams, "gram string, toxic long, ordinary long").groupBy("gram").agg(
-            F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
-        total = counted.where("gram = ''").first()
-        n_toxic, n_ordinary = (total["toxic"], total["ordinary"]) if total else (0, 0)
-        if not n_toxic or not n_ordinary:
-            counted.unpersist()
-            return Model(b"", b"", None, float(bool(n_toxic)))
-        ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("ordinary") + 0.5) / (n_ordinary + 1))
-        hot = counted.where((F.col("toxic") >= max(3, n_toxic // 100)) & (ratio > 3) & (F.col("gram") != ""))
-        hot = {r["gram"] for r in hot.orderBy(F.desc("toxic"), "gram").limit(10_000).collect()}
-        counted.unpersist()
-        windows = first.mapInArrow(_windows(hot), "toxic int, words string")
-        lists: dict[int, list[bytes]] = {}
-        for label in (0, 1):  # by hash, so the same windows are taken in every run
-            own = windows.where(F.col("toxic") == label).orderBy(F.xxhash64("words"), "words").limit(WINDOWS)
-            lists[label] = [_window(r["words"]) for r in own.collect()]
-        model = Model(train(lists[1], TOXIC_BYTES), train(lists[0], ORDINARY_BYTES), None, 0.0)
-
-        def measure(batches):
-            d = model.distance()
-            for batch in small(batches):
-                x = [d.features(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
-
-        rows = both.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").orderBy("x", "toxic").collect()
-    finally:
-        both.unpersist()
+    # At most `sample` rows of two numbers. Equal texts are in one part and one half.
+    both = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["text", "toxic"])
+    part = F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(CALIBRATION)).cast("int")
+    half = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int")
+    both = freeze(both.select("text", "toxic", part.alias("part"), half.alias("half")), "labelled")
+    shares = {r["toxic"]: r["n"] for r in both.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_ordinary = shares.get(1, 0), shares.get(0, 0)
+    if not n_toxic or not n_ordinary:
+        return Model(b"", b"", None, float(bool(n_toxic)))
+    training = both.where("part > 0").select("text", "toxic", "half")
+    counted = training.mapInArrow(_count_windows, "half int, word string, toxic long, ordinary long")
+    counted = freeze(counted.groupBy("half", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "windows")
+    toxic = _dictionary(_chosen(counted, (TOXIC_BYTES, ORDINARY_BYTES)), "toxic", TOXIC_BYTES)
+    model = Model(toxic, _dictionary(counted, "ordinary", ORDINARY_BYTES), None, 0.0)
+
+    def measure(batches):
+        d = model.distance()
+        for batch in small(batches):
+            x = [d.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    rows = both.where("part = 0").select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").orderBy("x", "toxic").collect()
     y = np.array([r["toxic"] for r in rows], float)
     if len(rows) and 0 < y.mean() < 1:
         model.calibrated = Logistic.fit(np.array([r["x"] for r in rows]), y, penalty=0.1)

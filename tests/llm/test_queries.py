@@ -291,6 +291,20 @@ def test_toxicity(spark, labelled):
     assert toxicity.score(odd_docs(spark), nothing).count() == 4 and toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """The figures at sf0.1: recall and false alarms at 0.3 on labels that were never looked at."""
+    from dashloom.llm.queries import op1_toxicity
+    from dashloom.llm.registry import table
+
+    sf = "/root/testdata/sf0.1"
+    got = op1_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").collect()
+    y, s = np.array([r["toxic"] for r in got]), np.array([r["score"] for r in got])
+    recall, alarms = (s[y == 1] >= 0.3).mean(), (s[y == 0] >= 0.3).mean()
+    auc = (s[y == 1][:, None] > s[y == 0]).mean()
+    print(f"recall {recall:.3f}, false alarms {alarms:.3f}, AUC {auc:.3f} of {len(y)} documents, {y.sum()} toxic")
+    assert recall >= 0.85 and alarms <= 0.05
+
+
 def test_quality(spark, labelled):
     docs, labels, truth = labelled
     model = quality.fit(docs, labels)
