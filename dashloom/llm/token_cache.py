@@ -57,15 +57,17 @@ class TokenCache:
         to the tasks and no text is shuffled. Counts are appended before they are used.
         """
         text = F.coalesce("text", F.lit(""))
-        key = F.xxhash64("doc_id", "text").alias("row_key")
+        # Two hashes: with one, two of 10^10 rows would be taken for each other.
+        keys = F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")
         digest = F.unhex(F.sha2(text, 256)).alias("digest")
-        rows = freeze(docs.select("doc_id", key, digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
-        new = rows.groupBy("digest").agg(F.min("row_key").alias("row_key"))
+        rows = freeze(docs.select("doc_id", *keys, digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
+        new = rows.groupBy("digest").agg(F.min(F.struct("k1", "k2")).alias("key"))
         if (known := self.stored()) is not None:
             new = new.join(known, "digest", "left_anti")
-        texts = docs.select(key, text.alias("text")).join(new, "row_key").select("digest", "text")
+        texts = docs.select(*keys, text.alias("text")).join(new.select("digest", "key.*"), ["k1", "k2"]).select("digest", "text")
         counted = texts.mapInArrow(_count(self.tokenizer), "digest binary, n_tokens long")
         counted.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)
-        return rows.join(self.stored(), "digest", "left").select(
+        # Both sides are read from tables: with a sum beneath the join, a digest that very many rows have could not be split.
+        return rows.join(freeze(self.stored(), "counts"), "digest", "left").select(
             "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
         )
