@@ -20,15 +20,15 @@ class Logistic:
     weights: np.ndarray  # the last one is the intercept
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Logistic:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.ndarray | None = None) -> Logistic:
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-9] = 1
         z = np.c_[(x - mean) / scale, np.ones(len(x))]
-        w = np.zeros(z.shape[1])
+        w, each = np.zeros(z.shape[1]), np.ones(len(x)) if weight is None else weight
         ridge = np.r_[np.full(x.shape[1], penalty), 1e-3]
         for _ in range(30):
             p = logistic(z @ w)
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+            step = np.linalg.solve((z.T * (each * p * (1 - p))) @ z + np.diag(ridge), z.T @ (each * (p - y)) + ridge * w)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break

@@ -16,7 +16,6 @@ from .words import chunks, small, word_hashes
 LABELLED = 10_000  # labelled documents used at most: those with the smallest hash of their id
 UNLABELLED = 10_000  # further documents for pseudo-labels at most, chosen the same way
 ROUNDS = 5
-CONFIDENT = 0.95
 PER_ROUND = 500  # pseudo-labels that one classifier gives the other in a round, at most
 BUCKETS = 64
 
@@ -76,6 +75,7 @@ class Model:
     meta: Logistic | None
     combined: Logistic | None
     share: float  # of good documents; the score of all where one label is all there is
+    given: tuple = ((0, 0.0), (0, 0.0))  # labels that the text and the metadata view gave, and their weight
 
     def scores(self, x_text: np.ndarray, x_meta: np.ndarray) -> np.ndarray:
         """Columns: score of the text view, of the metadata view, and of both."""
@@ -85,43 +85,54 @@ class Model:
         return np.c_[self.text.score(x_text), self.meta.score(x_meta), self.combined.score(margins)]
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> Model:
+def _calibrated(model: Logistic, x: np.ndarray, y: np.ndarray) -> Logistic:
+    """How sure a view may be: its margins against labels that it was not fitted on."""
+    return Logistic.fit(model.margin(x)[:, None], y)
+
+
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
     """Fit both views on two thirds of the labelled rows, exchange pseudo-labels, calibrate on the rest.
 
     In each round a view labels the rows of the pool it is surest of, in the ratio of the
-    classes, for the other view. A view whose margins do not separate the held-back rows
-    is given no weight by the calibration.
+    classes, for the other view. How much such a label counts is what the view knows beyond the share of its class:
+    0 for a score that, calibrated on the held-back rows, is no better than the share, 1 for certainty. So both views give, and one that knows
+    little does little harm. `given` counts the labels with a weight that each view gave, and the sum of the weights.
+    A view whose margins do not separate the held-back rows is given no weight by the calibration.
     """
     if not len(y) or not 0 < y.mean() < 1:
         return Model(None, None, None, float(y.mean()) if len(y) else 1.0)
     back = np.arange(len(y)) % 3 == 2
     if not 0 < y[back].mean() < 1 or not 0 < y[~back].mean() < 1:
         back[:] = False
+    rest = back if back.any() else ~back
     fit_x, fit_y = [v[~back] for v in views], [y[~back], y[~back]]
-    left = np.ones(len(pool[0]), bool)
+    weights = [np.ones((~back).sum()) for _ in views]
+    left = [np.ones(len(p), bool) for p in pool]  # rows that a view has not labelled yet
     models = [Logistic.fit(x, t) for x, t in zip(fit_x, fit_y, strict=True)]
-    for _ in range(ROUNDS):
-        given = 0
+    given = [[0, 0.0], [0, 0.0]]
+    for _ in range(rounds):
+        before = given[0][0] + given[1][0]
         for giver, taker in ((0, 1), (1, 0)):
-            rows = np.flatnonzero(left)
+            rows = np.flatnonzero(left[giver])
             if not len(rows):
-                break
-            p = models[giver].score(pool[giver][rows])
+                continue
+            p = _calibrated(models[giver], views[giver][rest], y[rest]).score(models[giver].margin(pool[giver][rows])[:, None])
             for label, share in ((1, y.mean()), (0, 1 - y.mean())):
                 sure = p if label else 1 - p
-                most = max(1, int(PER_ROUND * share))
-                best = rows[np.argsort(-sure, kind="stable")[:most]]
-                best = best[(p if label else 1 - p)[np.searchsorted(rows, best)] >= CONFIDENT]
+                best = np.argsort(-sure, kind="stable")[: max(1, int(PER_ROUND * share))]
+                weight = np.maximum(0, (sure[best] - share) / (1 - share))
+                best, weight = rows[best[weight > 0]], weight[weight > 0]
                 fit_x[taker] = np.r_[fit_x[taker], pool[taker][best]]
                 fit_y[taker] = np.r_[fit_y[taker], np.full(len(best), float(label))]
-                left[best] = False
-                given += len(best)
-        models = [Logistic.fit(x, t) for x, t in zip(fit_x, fit_y, strict=True)]
-        if not given:
+                weights[taker] = np.r_[weights[taker], weight]
+                left[giver][best] = False
+                given[giver][0] += len(best)
+                given[giver][1] += float(weight.sum())
+        models = [Logistic.fit(x, t, weight=w) for x, t, w in zip(fit_x, fit_y, weights, strict=True)]
+        if given[0][0] + given[1][0] == before:
             break
-    rest = back if back.any() else ~back
     margins = np.c_[models[0].margin(views[0][rest]), models[1].margin(views[1][rest])]
-    return Model(models[0], models[1], Logistic.fit(margins, y[rest]), float(y.mean()))
+    return Model(models[0], models[1], Logistic.fit(margins, y[rest]), float(y.mean()), tuple(map(tuple, given)))
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
