@@ -247,8 +247,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, count: bool = True) -> D
     spark = docs.sparkSession
     # Two hashes: with one, two of 10^10 rows would be taken for each other.
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
-    # One set of counters a task: no more tasks than run at once, however many files there are.
-    few = docs.select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    # One set of counters a task: no more tasks than a few rounds of the cluster, however many files there are.
+    few = docs.select("text").coalesce(8 * spark.sparkContext.defaultParallelism)
     counted = few.mapInArrow(_counters(width), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = np.zeros(COUNTERS, np.int64)
     found = counted.toArrow()  # COUNTERS rows at most
