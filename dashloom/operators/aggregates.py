@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import running_sums, split_in_order
-
 Dim = str | Column
 Measures = Mapping[str, Column]
 
@@ -61,41 +60,65 @@ def melt(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame
     return df.unpivot(list(ids), list(metrics), "metric", "value")
 
 
+def _rank_column(p: float) -> str:
+    return f"p{p * 100:g}".replace(".", "_")
+
+
 def percentiles(df: DataFrame, dims: Sequence[str], col: str, ps: Sequence[float],
                 parts: int | None = None) -> DataFrame:
     """Exact interpolated percentiles, one column p<percent> each.
 
-    Equal values are counted before the shuffle, then the counts are added up in
-    the order of the values. Groups are cut into chunks, so no task holds the values of
-    a group.
+    Two scans and no global order. A sketch per group cuts its values into `parts` of about
+    equal rank (10,000 by default) and gives a bracket that surely holds each wanted rank. The second scan
+    counts what is below and above each bracket and keeps the values inside, equal ones counted before the
+    shuffle: about 4 in `parts` of a group's values for each percentile, which are put in order.
     """
-    # Nulls count 0: they take no place in the order, but keep a group that has nothing else.
-    counted = (df.groupBy(*dims, F.col(col).cast("double").alias("_v"))
-               .agg(F.count(F.col(col)).alias("_n")))
-    order = [F.col("_v")]
-    ranked = running_sums(split_in_order(counted, dims, order, parts), order, {"_upto": F.col("_n")})
-    last, below = F.col("_upto") - 1, F.col("_upto") - F.col("_n")
-    size = F.col("_upto_total")
+    parts, margin = parts or 10_000, 2.0 / (parts or 10_000)
+    wanted = [min(max(x, 0.0), 1.0) for p in ps for x in (p - margin, p + margin)]
+    rows = df.select(*dims, F.col(col).cast("double").alias("_v"))
+    brackets = rows.groupBy(*dims).agg(
+        F.count("_v").alias("_size"), F.percentile_approx("_v", wanted, parts).alias("_at"),
+        F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    ends = {0.0: F.col("_least"), 1.0: F.col("_most")}  # brackets at the ends are open
+    brackets = brackets.select(*dims, "_size", F.array(*[ends.get(x, F.col("_at")[i]) for i, x in enumerate(wanted)]).alias("_at"))
+    keys = {d: f"_d{i}" for i, d in enumerate(dims)}
+    same = [F.col(d).eqNullSafe(F.col(k)) for d, k in keys.items()]
+    brackets = brackets.withColumnsRenamed(keys)
+    bracketed = rows.join(brackets, same) if same else rows.crossJoin(brackets)  # one row without dimensions
+    v, sides = F.col("_v"), []
+    for i in range(len(ps)):
+        lo, hi = F.col("_at")[2 * i], F.col("_at")[2 * i + 1]
+        side = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+        sides.append(F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("at")))
+    # A group without values stays, with nulls.
+    placed = F.explode_outer(F.when(v.isNotNull(), F.array(*sides))).alias("_s")
+    counted = (bracketed.select(*dims, "_size", "_v", placed).groupBy(*dims, "_size", "_s")
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    so_far = (W.partitionBy(*dims, "_s.i").orderBy("_s.side", "_s.at")
+              .rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumn("_upto", F.sum("_n").over(so_far))
+    side, first, last = F.col("_s.side"), F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     picks, result = [], []
-    for p in ps:
-        name = f"p{p * 100:g}".replace(".", "_")
-        pos = F.lit(float(p)) * (size - 1).cast("double")
+    for i, p in enumerate(ps):
+        name, pos = _rank_column(p), F.lit(float(p)) * (F.col("_size") - 1).cast("double")
         for end, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (below <= at) & (at <= last)
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"{name}_{end}"))
-        pos = F.lit(float(p)) * (F.col("_size") - 1).cast("double")
+            # Beside the bracket only the neighbouring value is known; the sketch's bound makes that enough.
+            value = (F.when(side == 0, F.col("_s.at")).when((side < 0) & (at == last), F.col("_max"))
+                     .when((side > 0) & (at == first), F.col("_min"))
+                     .otherwise(F.raise_error(F.lit("a percentile is outside its bracket"))))
+            hit = (F.col("_s.i") == i) & (first <= at) & (at <= last)
+            picks.append(F.max(F.when(hit, value)).alias(f"{name}_{end}"))
         part = pos - F.floor(pos).cast("double")
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         result.append((lo + (hi - lo) * part).alias(name))
-    grouped = ranked.groupBy(*dims).agg(F.max(size).alias("_size"), *picks)
-    return grouped.select(*dims, *result)
+    return ranked.groupBy(*dims, "_size").agg(*picks).select(*dims, *result)
 
 
 def percentiles_approx(df: DataFrame, dims: Sequence[str], col: str,
                        ps: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Percentiles from mergeable summaries, rank error at most 1/accuracy."""
     found = F.percentile_approx(col, [float(p) for p in ps], accuracy).alias("_found")
-    names = [f"p{p * 100:g}".replace(".", "_") for p in ps]
+    names = [_rank_column(p) for p in ps]
     return df.groupBy(*dims).agg(found).select(
         *dims, *[F.col("_found")[i].alias(n) for i, n in enumerate(names)])
 
