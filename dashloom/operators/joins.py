@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grain import time_bucket
-from .ordered import CHUNK, KEY, carry_over, in_chunk, split_in_order
+from .ordered import BUCKET, KEY, bucketed, carried, in_bucket
 
 Key = str | tuple[str, str]
 
@@ -63,29 +63,31 @@ def orphans(fact: DataFrame, dim: DataFrame, key: Key) -> DataFrame:
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
                 tie: str, values: Sequence[str], strict: bool = False,
-                parts: int | None = None) -> DataFrame:
+                parts: int | None = None, bucket: timedelta = timedelta(hours=1)) -> DataFrame:
     """Each left row with the `values` of the latest right row of its key.
 
     Latest means the greatest `rt` not after `lt` (before `lt` if strict), then
-    the greatest `tie`. Left rows without one keep nulls. Both sides are put in
-    one order per key, cut into chunks, and the last right row is carried along it.
+    the greatest `tie`. Left rows without one keep nulls. Both sides of a key are put in
+    one order within each span of `bucket` (a second or more), and the last right row is carried from span to
+    span. `parts` is the number of partitions.
     """
+    width = max(1, bucket // timedelta(seconds=1))
     # At equal times the right row comes first when it counts as a match.
     side_left, side_right = (0, 1) if strict else (1, 0)
     lefts = left.select(
-        F.col(key).alias("_by"), F.col(lt).alias("_t"), F.lit(side_left).alias("_side"),
+        F.col(key).alias("_by"), F.col(lt).alias("_t"), time_bucket(left, lt, width).alias("_span"), F.lit(side_left).alias("_side"),
         F.struct(*left.columns).alias("_left"))
     rights = right.filter(F.col(key).isNotNull() & F.col(rt).isNotNull()).select(
-        F.col(key).alias("_by"), F.col(rt).alias("_t"), F.lit(side_right).alias("_side"),
+        F.col(key).alias("_by"), F.col(rt).alias("_t"), time_bucket(right, rt, width).alias("_span"), F.lit(side_right).alias("_side"),
         F.col(tie).alias("_tie"), F.struct(*values).alias("_right"))
     is_right = F.col("_side") == side_right
     order = [F.col("_t"), F.col("_side"), F.col("_tie")]
-    chunks = split_in_order(lefts.unionByName(rights, allowMissingColumns=True), ["_by"], order, parts)
+    both = bucketed(lefts.unionByName(rights, allowMissingColumns=True), ["_by"], F.col("_span"), parts)
     latest = F.max_by("_right", F.when(is_right, F.struct("_t", "_tie")))
-    carry = carry_over(chunks, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
-    here = F.last("_right", ignorenulls=True).over(in_chunk(order))
-    seen = chunks.withColumn("_here", here).filter(~is_right)
-    found = seen.join(carry, [CHUNK, KEY], "left").select(
+    carry = carried(both, {"_before": (latest, lambda c: F.last(c, ignorenulls=True))})
+    here = F.last("_right", ignorenulls=True).over(in_bucket(order))
+    seen = both.withColumn("_here", here).filter(~is_right)
+    found = seen.join(carry, [KEY, BUCKET], "left").select(
         "_left", F.coalesce("_here", "_before").alias("_hit"))
     return found.select("_left.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 

@@ -1,5 +1,10 @@
 """Ordered work on keys of any size.
 
+Where the order is time, the rows of a key are dealt by fixed spans of time (`bucketed`). What an earlier span
+passes on is one small state, and the states of a key, one for each span that has rows, are folded
+in order (`carried`): no sampling, nothing is written, and however busy a key is, a task holds
+one span of it. Where the order is not time, rows are cut into even chunks instead:
+
 A window over a key puts the whole key into one task, which a key with a large share of the
 table does not allow. So the rows of all keys are cut into chunks along the order (key, then
 time or value). `repartitionByRange` samples the rows, so the chunks are even whatever the
@@ -17,12 +22,33 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 
-CHUNK, KEY, SPREAD = "_chunk", "_key", "_spread"
+CHUNK, KEY, SPREAD, BUCKET = "_chunk", "_key", "_spread", "_bucket"
 
 # (aggregate of one chunk, fold over the chunks of a key)
 State = tuple[Column, Callable[[Column], Column]]
 
 
+def bucketed(df: DataFrame, by: Sequence[str], bucket: Column, parts: int | None = None) -> DataFrame:
+    """`df` with `_key` (the `by` columns) and `_bucket`, each key's span of time in one partition."""
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    keyed = df.withColumns({KEY: key, BUCKET: bucket})
+    return keyed.repartition(*([parts] if parts else []), KEY, BUCKET)
+
+
+def in_bucket(order: Sequence[Column]) -> WindowSpec:
+    """The rows of a key in a span of time, up to the current one."""
+    return (W.partitionBy(KEY, BUCKET).orderBy(*order)
+            .rowsBetween(W.unboundedPreceding, W.currentRow))
+
+
+def carried(rows: DataFrame, states: Mapping[str, State]) -> DataFrame:
+    """What a key brings into a span of time from all earlier ones: a row for each span with rows."""
+    per_bucket = rows.groupBy(KEY, BUCKET).agg(*[agg.alias(name) for name, (agg, _) in states.items()])
+    earlier = (W.partitionBy(KEY).orderBy(F.col(BUCKET).asc_nulls_first())
+               .rowsBetween(W.unboundedPreceding, -1))
+    return per_bucket.select(KEY, BUCKET, *[fold(F.col(n)).over(earlier).alias(n) for n, (_, fold) in states.items()])
+
+
 def in_chunk(order: Sequence[Column]) -> WindowSpec:
     """The rows of a key in a chunk, up to the current one."""
     return (W.partitionBy(CHUNK, KEY).orderBy(*order)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .filters import _literal
-from .ordered import KEY, running_sums, split_in_order
+from .ordered import CHUNK, running_sums, split_in_order
 
 
 def pareto(df: DataFrame, dim: str, measure: Column, tiles: int = 4,
@@ -26,11 +26,16 @@ def pareto(df: DataFrame, dim: str, measure: Column, tiles: int = 4,
     order = (F.col("value").desc(), F.col(dim))
     chunks, one = split_in_order(grouped, [], order, parts), F.lit(1).cast("bigint")
     numbered = running_sums(chunks, order, {"_upto": one, "_sum": F.col("value")})
-    # Rows of equal value are a run in the same order; where it starts is the rank.
-    run = F.struct("value")
-    ranked = running_sums(chunks.withColumn(KEY, run), order, {"_place": one},
-                          onto=numbered.withColumn(KEY, run))
-    ranked = ranked.withColumn("_rank", F.col("_upto") - F.col("_place"))
+    # The rank is where a run of equal values starts. A chunk's first run may have begun in earlier
+    # chunks, at the end of each: so many rows of it came before, from one row for each chunk.
+    runs = chunks.groupBy(CHUNK, F.struct("value").alias("_run")).agg(F.count(F.lit(1)).alias("_n"))  # a null is a value too
+    tails = runs.groupBy(CHUNK).agg(F.max("_run").alias("_first"), F.min("_run").alias("_last"), F.min_by("_n", "_run").alias("_tail"))
+    earlier = tails.select(F.col(CHUNK).alias("_chunk2"), F.col("_last").alias("_first"), F.col("_tail").alias("_tail2"))
+    begun = (tails.select(CHUNK, "_first").join(earlier, "_first").filter(F.col("_chunk2") < F.col(CHUNK))
+             .groupBy(CHUNK, "_first").agg(F.sum("_tail2").alias("_begun")))
+    run_start = F.min("_upto").over(W.partitionBy(CHUNK, "value")) - 1
+    ranked = numbered.join(begun, CHUNK, "left").withColumn("_rank", run_start - F.when(
+        F.struct("value") == F.col("_first"), F.coalesce("_begun", F.lit(0))).otherwise(0))
     n, at = F.col("_upto_total"), F.col("_upto")
     size, extra = F.floor(n / tiles), n % tiles
     long = extra * (size + 1)  # rows in the tiles that hold one more

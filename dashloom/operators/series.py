@@ -3,7 +3,7 @@
 Panels first aggregate the fact to one row per grain and dimension. The windows
 here run over such series, whose length is the number of grains in the time
 range and does not grow with the fact. Where the rows of a key are not aggregated
-to a grain (`rolling`), the ordered chunks are used instead of a window over it.
+to a grain (`rolling`), spans of time are used instead of a window over it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.grain import STEPS, truncate
-from .ordered import running_sums, split_in_order
+from ..functions.grain import STEPS, time_bucket, truncate
+from .ordered import BUCKET, KEY, bucketed, carried, in_bucket
 
 
 def series(df: DataFrame, time: str, grain: str, measures: Mapping[str, Column],
@@ -83,7 +83,8 @@ def running(points: DataFrame, measure: str, dims: Sequence[str] = ()) -> DataFr
 
 
 def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
-            values: Mapping[str, Column], parts: int | None = None) -> DataFrame:
+            values: Mapping[str, Column], parts: int | None = None,
+            bucket: timedelta = timedelta(hours=1)) -> DataFrame:
     """Totals over the span `back` up to each moment a key has a row.
 
     One row per key and moment; a row exactly `back` earlier still counts. Each
@@ -91,6 +92,7 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
     entry, once it is older than `back`; the running sum is then the total. Values
     should be integers, such as cents, or decimals, for which that is exact. A span
     that holds nulls only has no total: as many entries as leavings are known.
+    A key is dealt by spans of `bucket` (a second or more); `parts` is the number of partitions.
     """
     known = {n: f"_known_{n}" for n in values}
     span = F.lit(back)
@@ -103,10 +105,18 @@ def rolling(df: DataFrame, by: Sequence[str], time: str, back: timedelta,
         *by, (F.col("t") + span).alias("t"),
         *[(-F.col(n)).alias(n) for n in (*values, *known.values())], F.lit(1).alias("_leaving"))
     order = [F.col("t"), F.col("_leaving")]
-    chunks = split_in_order(enter.unionByName(leave), by, order, parts)
-    sums = running_sums(chunks, order, {f"_{n}": F.col(n) for n in (*values, *known.values())})
-    return sums.filter(F.col("_leaving") == 0).select(
-        *by, "t", *[F.when(F.col(f"_{k}") > 0, F.col(f"_{n}")).alias(n) for n, k in known.items()])
+    both = enter.unionByName(leave)
+    width = max(1, bucket // timedelta(seconds=1))
+    rows, names = bucketed(both, by, time_bucket(both, "t", width), parts), [*values, *known.values()]
+    carry = carried(rows, {f"_b_{n}": (F.sum(n), F.sum) for n in names})
+    here = rows.select("*", *[F.sum(n).over(in_bucket(order)).alias(f"_h_{n}") for n in names])
+    sums = here.filter(F.col("_leaving") == 0).join(carry, [KEY, BUCKET], "left")
+
+    def so_far(n: str) -> Column:
+        before, now = F.col(f"_b_{n}"), F.col(f"_h_{n}")
+        return F.coalesce(before + now, before, now)
+
+    return sums.select(*by, "t", *[F.when(so_far(k) > 0, so_far(n)).alias(n) for n, k in known.items()])
 
 
 def zscore(points: DataFrame, measure: str, n: int, dims: Sequence[str] = ()) -> DataFrame:
