@@ -40,7 +40,8 @@ def whole(name, texts):
 
 def test_lines_against_sql(spark, sf):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in ORACLES.items():
         want = con.execute(sql)
         columns = [c[0] for c in want.description]
