@@ -16,8 +16,8 @@ _BLANK = " \t\n\x0b\x0c\r"
 class LineRuns:
     """Line hashes with document counts, in runs sorted by hash.
 
-    A run is a table bucketed and sorted by the hash, so runs of any age merge with each other
-    without a shuffle of theirs. A batch adds a run to level 0; `fanout` runs of a level
+    A run is a table bucketed and sorted by the hash's two halves, so runs of any age merge with each other
+    without a shuffle; only the lines that are settled are shuffled, for the join with a batch. A batch adds a run to level 0; `fanout` runs of a level
     are compacted into one of the next level, so n batches leave about fanout * log(n) runs.
     Lines that have reached `settled` documents are known for good: each new batch
     anti-joins them and adds only its other lines.
@@ -31,7 +31,8 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (df.repartition("h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
+        # What is written has been summed by h1 and h2, so a task's rows are in few buckets.
+        (df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", new_path(self.spark, name)).format("parquet").saveAsTable(name))
         return name
 
@@ -103,16 +104,17 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     which splits a line that holds a third of all rows. The text is shuffled once, to its positions.
     """
     spark = docs.sparkSession
-    key = F.xxhash64("doc_id", "text")
+    # Two hashes: with one, two of 10^10 documents would lose each other's lines.
+    key = F.struct(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
     clean = lambda x: F.translate(F.btrim(x, F.lit(_BLANK)), _UPPER, _LOWER)
     hashed = F.transform(
         _lines(F.col("text")),
         lambda x, i: F.struct(i.alias("at"), F.xxhash64(clean(x)).alias("h1"), F.xxhash64(F.lit(1), clean(x)).alias("h2"),
                               (F.char_length(clean(x)) >= min_chars).alias("long")),
     )
-    owner = F.xxhash64("text") if copies_once else key
+    owner = F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")) if copies_once else key
     cut = docs.select(key.alias("key"), owner.alias("owner"), F.explode(hashed).alias("l")).where("l.long")
-    cut = cut.select("key", "owner", "l.at", "l.h1", "l.h2", F.pmod("owner", F.lit(batches)).alias("batch"))
+    cut = cut.select("key", "owner", "l.at", "l.h1", "l.h2", F.pmod("owner.k1", F.lit(batches)).alias("batch"))
     cut = freeze(cut, "lines")
     runs = LineRuns(spark, min_docs)
     for b in range(batches):

@@ -48,6 +48,21 @@ def test_lines_against_sql(spark, sf):
         assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, sf).select(*columns).collect())
 
 
+def test_runs_merge_without_shuffle(spark):
+    """Runs of all levels are summed bucket by bucket."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    runs = line_dedup.LineRuns(spark, 3, fanout=3)
+    try:
+        for b in range(5):
+            runs.add(spark.range(300).select(F.xxhash64(F.col("id") % (50 + b)).alias("h1"), F.xxhash64(F.lit(1), F.col("id") % (50 + b)).alias("h2"), (F.col("id") + 1000 * b).alias("key")))
+        assert [len(level) for level in runs.levels] == [2, 1]
+        assert "Exchange" not in plan(runs.counts()) and plan(runs.counts()).count("Bucketed: true") == 3
+        assert runs.counts().agg(F.sum("n_docs"), F.count(F.lit(1))).first() == (runs.frequent().agg(F.sum("n_docs")).first()[0], 54)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.close()
+
+
 def test_lines_by_hand(spark):
     texts = [f" Shared Line\t\nown {i}\n\nshared line" for i in range(12)] + [None, "", "shared line", "x\n" * 3000 + "shared line"]
     got = {r["doc_id"]: r for r in line_dedup.drop_shared_lines(frame(spark, texts), min_docs=10).collect()}
