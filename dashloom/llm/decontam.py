@@ -164,7 +164,11 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
 
 def without_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents in which no test item was found, with all their columns and repeated rows."""
+    """The documents in which no test item was found, with all their columns and repeated rows.
+
+    Null and empty texts hold nothing and stay, also without a doc_id. Without items, or where no item has a
+    word, all documents stay; an empty table gives an empty one.
+    """
     key = F.xxhash64("doc_id", "text")
-    found = find_items(docs, items, width, percent).select("row_key").distinct()
-    return docs.join(found, key == found["row_key"], "left_anti")
+    found = find_items(docs, items, width, percent).select("row_key", F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, (key == found["row_key"]) & docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")

@@ -106,7 +106,9 @@ def pack(pieces: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame
     """Put pieces (length of 1 to `window`, any other columns) into sequences of at most `window`.
 
     Adds sequence_id and offset, gapless from 0 within a sequence; columns of those names are
-    replaced. Pieces of no table give no sequences.
+    replaced. A piece whose length is null, below 1 or above `window` fits nowhere and has nulls
+    there. Pieces of equal length are dealt in the order of their numbers; repeated rows are pieces of
+    their own. An empty table gives an empty one.
 
     The pieces are written once, each with a number; they are dealt to groups of about `group`
     pieces by a hash of it, so no text or length that many rows share makes a group larger.
@@ -114,7 +116,11 @@ def pack(pieces: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame
     """
     pieces = pieces.drop("sequence_id", "offset")
     pieces = freeze(pieces.withColumn("__id", F.monotonically_increasing_id()), "pieces")
+    fits = F.coalesce(F.col("length").between(1, window), F.lit(False))
+    nowhere = F.lit(None).cast("long")
+    odd = pieces.where(~fits).drop("__id").withColumns({"sequence_id": nowhere, "offset": nowhere})
+    pieces = pieces.where(fits)
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("__id"), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "__id")
-    return dealt.groupBy("__group").applyInArrow(_pack(window), f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInArrow(_pack(window), f"{schema}, sequence_id long, offset long").union(odd)

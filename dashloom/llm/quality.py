@@ -204,7 +204,11 @@ def _scorer(docs: DataFrame, model: Model, keep_from: float, carried: list[str])
 
 
 def keep_good(docs: DataFrame, model: Model, keep_from: float = 0.5) -> DataFrame:
-    """The documents with a score of at least `keep_from`, with all their columns."""
+    """The documents with a score of at least `keep_from`, with all their columns.
+
+    A null text is an empty one, null metadata a value of its own; without labels of both kinds all
+    documents have one score. Repeated rows stay or go together; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

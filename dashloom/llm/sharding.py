@@ -61,7 +61,12 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: Sequence[flo
 
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str, spread: int = 1) -> None:
-    """Write the rows of `df` to one folder per shard, each by `spread` tasks at a time."""
+    """Write the rows of `df` to one folder per shard, each by `spread` tasks at a time.
+
+    All columns are written, those of every kind and with nulls; a column named `shard` is replaced.
+    Rows without a key are in one shard; repeated rows are written as often as they are there. An empty table leaves
+    a folder without files.
+    """
     shard, n = shard_of(F.col(key), weights), F.lit(max(1, spread))
     spare = F.pmod(F.xxhash64(*df.columns), n)
     df.withColumn("shard", shard).repartition("shard", spare).write.partitionBy("shard").parquet(path)
