@@ -4,7 +4,7 @@ Each stage is a function (spark, docs, sf_dir) over all that its predecessor kep
 table every stage makes an empty one. What it
 returns is written as Parquet and read again as the next one's documents; a lost executor
 costs part of one stage. All but the last return the columns of `documents`. Stages with Python
-tasks lower the session's Arrow batches to `words.BATCH` rows, and that stays.
+tasks lower the session's Arrow batches to `words.BATCH` rows, as what they return is run later; `run` puts that back.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dashloom.llm import decontam, jaccard, line_dedup, packing, quality
 from dashloom.llm.queries import tokenizer
 from dashloom.llm.registry import table
-from dashloom.llm.words import few_at_once
+from dashloom.llm.words import few_at_once, smaller_batches
 from dashloom.session import new_path
 
 
@@ -82,9 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. The session's size of Arrow batches is afterwards as it was."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with smaller_batches(spark):
+        for name, stage in STAGES:
+            path = new_path(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
