@@ -12,7 +12,7 @@ _PLAIN = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-\xff]")
 _ODD_SPACE = re.compile(r"[\t\x0b\x0c\r]|  | \n|\n |^ | $")
 _LETTER, _DIGIT = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
-_WORDS = 1 << 18  # words remembered in one Python worker; then it starts afresh
+_WORDS = 1 << 19  # words remembered in one Python worker; then it starts afresh
 
 
 def _byte_marks() -> list[str]:
