@@ -150,6 +150,24 @@ def merge_distinct(df: DataFrame, dims: Sequence[Dim], sketch: str = "sketch") -
     return df.groupBy(*dims).agg(merged.alias("n_distinct"))
 
 
+def distinct_bitmaps(df: DataFrame, dims: Sequence[Dim], col: str) -> DataFrame:
+    """Exact, mergeable distinct counts of a whole-number column: a bitmap for each group and bucket.
+
+    A bucket is 32,768 neighbouring numbers and takes 4 kB, so this suits ids that lie close. No
+    value is shuffled, only bitmaps, combined in each task first. Nulls do not count.
+    """
+    n = F.col(col).cast("bigint")
+    return df.filter(n.isNotNull()).groupBy(*dims, F.bitmap_bucket_number(n).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bitmap"))
+
+
+def merge_bitmaps(df: DataFrame, dims: Sequence[Dim]) -> DataFrame:
+    """Distinct counts of coarser groups from stored bitmaps; exact, as bits are merged by OR."""
+    merged = df.groupBy(*dims, "bucket").agg(F.bitmap_or_agg("bitmap").alias("_bitmap"))
+    names = [c for c in merged.columns if c not in ("bucket", "_bitmap")]
+    return merged.groupBy(*names).agg(F.sum(F.bitmap_count("_bitmap")).alias("n_distinct"))
+
+
 def facets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows per value of each column, from one scan."""
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])

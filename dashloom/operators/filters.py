@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
@@ -66,6 +66,17 @@ def derive(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
+def json_dims(df: DataFrame, col: str, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Several properties of a JSON column as dimensions: `name: (path, kind)`.
+
+    Each row's text is parsed once, to a variant that all paths read. Null where a property is
+    missing or of another kind, or where the text is no JSON.
+    """
+    parsed = df.withColumn("_variant", F.try_parse_json(col))
+    found = {name: F.try_variant_get("_variant", path, kind) for name, (path, kind) in paths.items()}
+    return parsed.withColumns(found).drop("_variant")
+
+
 def json_dim(df: DataFrame, col: str, path: str, kind: str = "string",
              name: str | None = None) -> DataFrame:
     """A property of a JSON column as a dimension; null where it is missing or of another kind."""

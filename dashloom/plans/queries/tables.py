@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ...functions.grain import GRAINS, truncate
 from ...functions.measures import cents, from_cents, rows, total
-from ...operators.aggregates import breakdown, kpi
-from ...operators.filters import Filter, apply_filters, derive, json_dim
+from ...operators.aggregates import breakdown, distinct_bitmaps, kpi, merge_bitmaps
+from ...operators.filters import Filter, apply_filters, derive, json_dim, json_dims
 from ...operators.sets import stack
 from ...session import new_path
 from ...sources.rollups import (daily_rollup, merge_rollup, read_rollup, write_rollup)
@@ -132,3 +132,23 @@ def every_grain(spark, sf_dir):
     each = [F.struct(F.lit(g).alias("grain"), truncate("ts", g).alias("t")) for g in GRAINS]
     points = table(spark, sf_dir, "events").select(F.inline(F.array(*each)))
     return breakdown(points, ["grain", "t"], {"n": rows()})
+
+
+@query("json_dims", f"""
+select cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.k') as k_text,
+       json_extract_string(props, '$.none') as missing, count(*) as n, {VALUE_TOTAL} as value
+from events group by all""")
+def json_properties(spark, sf_dir):
+    events = json_dims(table(spark, sf_dir, "events"), "props",
+                       {"k": ("$.k", "bigint"), "k_text": ("$.k", "string"), "missing": ("$.none", "string")})
+    return breakdown(events, ["k", "k_text", "missing"], {"n": rows(), "value": total("value")})
+
+
+@query("merge_bitmaps", """
+select event_type, cast(count(distinct user_id) as bigint) as n_distinct from events group by all""")
+def exact_users_from_days(spark, sf_dir):
+    """Exact users per type from bitmaps stored per day and type."""
+    path = new_path(spark, "bitmaps")
+    days = distinct_bitmaps(table(spark, sf_dir, "events"), [F.to_date("ts").alias("day"), "event_type"], "user_id")
+    write_rollup(days, path)
+    return merge_bitmaps(read_rollup(spark, path), ["event_type"])
