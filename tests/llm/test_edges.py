@@ -91,3 +91,21 @@ def test_written_shards(spark, folder, tmp_path):
     assert rows_of(back.select("doc_id", F.col("shard").cast("int"))) == rows_of(want)
     sharding.write_shards(docs.limit(0), "doc_id", [1.0], f"{tmp_path}/none")
     assert not list((tmp_path / "none").glob("**/*.parquet"))
+
+
+def test_shard_winners_by_hand(spark):
+    """Each key's draws worked out with the xxhash library, for equal and unequal weights."""
+    import math
+
+    import xxhash
+
+    def winner(key, weights):
+        seed = xxhash.xxh64((key if key is not None else "\0null").encode(), seed=42).intdigest()
+        draws = [xxhash.xxh64(i.to_bytes(4, "little"), seed=seed).intdigest() >> 12 for i in range(len(weights))]
+        return min((-math.log((d + 0.5) / (1 << 52)) / w, i) for i, (d, w) in enumerate(zip(draws, weights, strict=True)))[1]
+
+    keys = [None, "", *map(str, range(500))]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for weights in ([1.0] * 16, [1.0] * 17, [0.5, 2.0, 7.0]):
+        got = {r[0]: r[1] for r in df.select("k", sharding.shard_of(F.col("k"), weights).alias("s")).collect()}
+        assert got == {k: winner(k, weights) for k in keys}
