@@ -179,19 +179,39 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
             approx: bool = False) -> DataFrame:
     """Per column: rows, nulls, distinct values, least and greatest value as text.
 
-    One aggregate over one scan. Exact distinct counts shuffle every value of every
-    column, so wide or very large tables are better served by `approx`.
+    One scan. With `approx` one aggregate. Exact counts deal each row's values to their columns and
+    combine equal ones in each task, so what is shuffled is a row for each distinct value of a
+    column and task, with its count and as many fields as the columns have types.
     """
     cols = list(cols or df.columns)
-    count = F.approx_count_distinct if approx else F.count_distinct
-    facts = [F.struct(
-        F.lit(c).alias("column"),
-        F.count(F.lit(1)).alias("n_rows"),
-        (F.count(F.lit(1)) - F.count(c)).alias("n_nulls"),
-        count(c).alias("n_distinct"),
-        F.min(c).cast("string").alias("min_value"),
-        F.max(c).cast("string").alias("max_value")) for c in cols]
-    return df.agg(F.array(*facts).alias("_facts")).selectExpr("inline(_facts)")
+    if approx:
+        facts = [F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("n_rows"),
+            (F.count(F.lit(1)) - F.count(c)).alias("n_nulls"),
+            F.approx_count_distinct(c).alias("n_distinct"),
+            F.min(c).cast("string").alias("min_value"),
+            F.max(c).cast("string").alias("max_value")) for c in cols]
+        return df.agg(F.array(*facts).alias("_facts")).selectExpr("inline(_facts)")
+    kinds = {c: df.schema[c].dataType for c in cols}
+    fields = {k: f"v{i}" for i, k in enumerate(dict.fromkeys(k.simpleString() for k in kinds.values()))}
+    values = [F.struct(F.lit(i).alias("i"), *[
+        (F.col(c) if kinds[c].simpleString() == k else F.lit(None)).cast(k).alias(v) for k, v in fields.items()])
+        for i, c in enumerate(cols)]
+    dealt = df.select(F.explode(F.array(*values)).alias("_value"))
+    counted = (dealt.groupBy(*[F.col(f"_value.{v}").alias(v) for v in ("i", *fields.values())])
+               .agg(F.count(F.lit(1)).alias("_n")))
+    known = F.coalesce(*[F.when(F.col(v).isNotNull(), True) for v in fields.values()], F.lit(False))
+    # A column has values in the field of its type only.
+    found = counted.groupBy("i").agg(
+        F.sum("_n").alias("n_rows"), F.sum(F.when(known, 0).otherwise(F.col("_n"))).alias("n_nulls"),
+        F.count(F.when(known, 1)).alias("n_distinct"),
+        F.coalesce(*[F.min(v).cast("string") for v in fields.values()]).alias("min_value"),
+        F.coalesce(*[F.max(v).cast("string") for v in fields.values()]).alias("max_value"))
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in cols])).alias("i", "column"))
+    zero = F.lit(0).cast("bigint")
+    return names.join(found, "i", "left").select(
+        "column", *[F.coalesce(n, zero).alias(n) for n in ("n_rows", "n_nulls", "n_distinct")], "min_value", "max_value")
 
 
 def first_last(df: DataFrame, dims: Sequence[str], col: str, time: str,
