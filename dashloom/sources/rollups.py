@@ -15,7 +15,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.grain import as_local
 from ..session import delete, is_folder
 
 DAY, BATCH, LEDGER = "day", "batch_id", "_ledger"
@@ -24,8 +26,13 @@ _ENTRY = "part string, run string, level int, has_rows boolean, covers array<str
 
 def daily_rollup(df: DataFrame, time: str, dims: Sequence[str],
                  sums: Mapping[str, Column], user: str, lg_k: int = 12) -> DataFrame:
-    """Per day and dimensions: rows, sums, and a mergeable sketch of the users."""
-    return df.groupBy(F.to_date(time).alias(DAY), *dims).agg(
+    """Per day and dimensions: rows, sums, and a mergeable sketch of the users.
+
+    An instant, as in `event_stream`, counts for the day that UTC shows, in any session time zone.
+    """
+    instant = isinstance(df.schema[time].dataType, T.TimestampType)
+    day = F.to_date(as_local(F.col(time)) if instant else F.col(time))
+    return df.groupBy(day.alias(DAY), *dims).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(name) for name, c in sums.items()],
         F.hll_sketch_agg(user, lg_k).alias("users"))

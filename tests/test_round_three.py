@@ -14,7 +14,9 @@ from dashloom.operators.behaviour import funnel, funnel_times
 from dashloom.operators.filters import json_dims
 from dashloom.operators.series import series
 from dashloom.streaming import live as L
-from test_streams import Folder, _event
+from dashloom.sources.rollups import read_rollup
+from dashloom.streaming.rollup import stream_rollup
+from test_streams import Folder, _event, _merged, _rollup
 
 SCHEMA = "user long, t timestamp_ntz, kind string"
 
@@ -86,6 +88,13 @@ def test_times_in_any_zone(spark, zone, tmp_path):
     assert rows(got.select("window_start", "n")) == rows(batch.select("t", "n"))
 
 
+def test_rollup_days_in_any_zone(spark, zone, tmp_path):
+    folder = Folder(spark, tmp_path / "events")
+    folder.add(*[_event(i, dt.datetime(2024, 3, 9 + i // 8, i % 8 * 3, 30)) for i in range(24)])
+    stream_rollup(folder.stream(), str(tmp_path / "t"), str(tmp_path / "c"), _rollup).awaitTermination()
+    assert _merged(read_rollup(spark, str(tmp_path / "t"))) == _merged(_rollup(spark.read.parquet(folder.path)))
+
+
 def test_late_rows_of_many_batches(spark, tmp_path):
     """More batches than a query remembers: the query's own records lose some, the listener none."""
     folder, old = Folder(spark, tmp_path / "events"), spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
